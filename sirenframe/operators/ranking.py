@@ -1,0 +1,43 @@
+"""Exact running numbers for groups of any size."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+def blocked_row_number(
+    rows: DataFrame,
+    group: Sequence[str],
+    block: Sequence[Column],
+    order: Sequence[str],
+    name: str,
+) -> DataFrame:
+    """`row_number()` over `group` in `order`, without sorting a group in one task.
+
+    `block` cuts the order into consecutive stretches: a row of a lower block
+    must come before every row of a higher one. Rows are numbered inside their
+    block, blocks are counted with a map-side aggregate, and the number of rows
+    in earlier blocks is added. Only the block counts of a group meet in one
+    task; the join is on (group, block), and the row side keeps the
+    partitioning of its window. Null block columns count as a block of their own.
+    """
+    keys = [f"_block{i}" for i in range(len(block))]
+    blocked = rows.withColumns(dict(zip(keys, block)))
+    counts = blocked.groupBy(*group, *keys).agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy(*group).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        *[F.col(c).alias(f"_at_{c}") for c in [*group, *keys]],
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+    )
+    in_block = F.row_number().over(W.partitionBy(*group, *keys).orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*group, *keys]]
+    return (
+        blocked.withColumn("_in_block", in_block)
+        .join(offsets, same)
+        .withColumn(name, F.col("_in_block") + F.col("_offset"))
+        .drop(*keys, *[f"_at_{c}" for c in [*group, *keys]], "_in_block", "_offset")
+    )
