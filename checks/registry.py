@@ -355,7 +355,7 @@ def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = responses.parse_response(v.responses(spark, sf_dir))
     return parsed.select(
         "doc_id",
-        F.try_variant_get("record", "$.k", "bigint").alias("k"),
+        F.get_json_object("content", "$.k").cast("bigint").alias("k"),
         "error",
         "raw_response",
     )

@@ -16,6 +16,8 @@ def computed_once(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     put out by a generator (one row in, one row out), below which a filter on
     them is not pushed.
     """
+    made = {name: f"_made_{name}" for name in columns}
+    projected = rows.withColumns({made[name]: value for name, value in columns.items()})
     kept = [c for c in rows.columns if c not in columns]
-    values = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return rows.select(*kept, F.inline(F.array(values)))
+    values = F.struct(*[F.col(column).alias(name) for name, column in made.items()])
+    return projected.select(*kept, F.inline(F.array(values)))

@@ -1,7 +1,7 @@
 """Incident records: checks, casts and the row that is stored.
 
-Columns used: record (VARIANT), content (its JSON text). A failed check is a
-value of the `error` column, never an exception.
+Column used: content (JSON text of an object). A failed check is a value of the
+`error` column, never an exception.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.functions import bound_text, datetime_problem, parse_datetime_text
-from sirenframe.operators.variants import empty, kind
+from sirenframe.operators.variants import kind
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_TYPE_MAX_CHARS, LOCATION_MAX_CHARS
 
 # --- fixed values: message texts --------------------------------------------
@@ -48,29 +48,62 @@ def incident_date(date: Column, time: Column) -> Column:
     )
 
 
-def _no_attribute(value_kind: Column) -> Column:
+# The part of a record the checks look at. A value of another shape is null here,
+# and only then is the text read again to tell missing, null and wrong apart.
+_SHAPE = """
+  incidentTimes struct<
+    cad: string, unit_dispatched: string, incident_type: string,
+    times: struct<notifiedByDispatch: struct<date: string, time: string>>>,
+  incidentLocation struct<raw: string>"""
+
+_HEADER = "$.incidentTimes"
+_CAD = f"{_HEADER}.cad"
+_UNIT = f"{_HEADER}.unit_dispatched"
+_TYPE = f"{_HEADER}.incident_type"
+_TIMES = f"{_HEADER}.times"
+_NOTIFIED = f"{_TIMES}.notifiedByDispatch"
+_PLACE = "$.incidentLocation"
+_RAW = f"{_PLACE}.raw"
+
+
+def _value(path: str, data_type: str = "variant") -> Column:
+    """Value at a path: SQL NULL where it is missing, a variant null where it is null."""
+    return F.try_variant_get(F.try_parse_json("content"), path, data_type)
+
+
+def _wrong_shape(shape: Column, path: str) -> Column:
+    """True for a value that is there but no object."""
+    return shape.isNull() & (kind(_value(path)) != "dict")
+
+
+def _no_attribute(path: str) -> Column:
+    return F.concat(
+        F.lit(OPERATION_FAILED + "'"), kind(_value(path)), F.lit("' object has no attribute 'get'")
+    )
+
+
+def _no_length(path: str) -> Column:
     return F.concat(
-        F.lit(OPERATION_FAILED + "'"), value_kind, F.lit("' object has no attribute 'get'")
+        F.lit(OPERATION_FAILED + "object of type '"), kind(_value(path)), F.lit("' has no len()")
     )
 
 
-def _not_a_dict(value_kind: Column) -> Column:
-    return value_kind.isNotNull() & (value_kind != "dict")
+# Texts that may stand for an empty value that is no string.
+_EMPTY = ("0", "0.0", "false", "[]", "{}")
+
 
+def _empty(text: Column, path: str) -> Column:
+    """True for a missing, null or otherwise empty value."""
+    return text.isNull() | (text == "") | (text.isin(*_EMPTY) & (kind(_value(path)) != "str"))
 
-# Values of the record that the checks look at: name -> path.
-_PATHS = {
-    "header": "$.incidentTimes",
-    "unit": "$.incidentTimes.unit_dispatched",
-    "cad": "$.incidentTimes.cad",
-    "times": "$.incidentTimes.times",
-    "notified": "$.incidentTimes.times.notifiedByDispatch",
-    "date": "$.incidentTimes.times.notifiedByDispatch.date",
-    "time": "$.incidentTimes.times.notifiedByDispatch.time",
-    "type": "$.incidentTimes.incident_type",
-    "place": "$.incidentLocation",
-    "raw": "$.incidentLocation.raw",
-}
+
+def _like_number(text: Column) -> Column:
+    return F.coalesce(F.rlike(text, F.lit("^(-?[0-9]|true$)")), F.lit(False))
+
+
+def _unmeasurable(text: Column, path: str) -> Column:
+    """True for a number other than 0, and for true: values that have no length."""
+    return _like_number(text) & (kind(_value(path)) != "str") & ~text.isin(*_EMPTY)
 
 
 def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFrame:
@@ -80,95 +113,88 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
     complete, a real date and time), location shape, and last the number range
     of the table. `given_unit` names a column with a unit that takes precedence.
     """
-    values = records.withColumns(
-        {f"_{n}": F.try_variant_get("record", path, "variant") for n, path in _PATHS.items()}
+    shaped = records.withColumn("_shape", F.from_json("content", _SHAPE))
+    header, place = F.col("_shape.incidentTimes"), F.col("_shape.incidentLocation")
+    cad, unit, incident_type = header["cad"], header["unit_dispatched"], header["incident_type"]
+    notified = header["times"]["notifiedByDispatch"]
+    date, time, raw = notified["date"], notified["time"], place["raw"]
+    read = shaped.withColumns(
+        {"_digits": integer_text(cad), "_clock": F.concat(date, F.lit(" "), time)}
     )
-    typed = values.withColumns(
+    digits, clock = F.col("_digits"), F.col("_clock")
+    # A JSON number or boolean is an integer too, though its text may be none.
+    from_number = F.when(kind(_value(_CAD)) != "str", _value(_CAD, "bigint"))
+    parsed = read.withColumns(
         {
-            **{f"_{n}_kind": kind(F.col(f"_{n}")) for n in _PATHS},
-            **{
-                f"_{n}_text": F.try_variant_get(f"_{n}", "$", "string")
-                for n in ("unit", "cad", "notified", "date", "time", "type", "raw")
-            },
+            "_number": F.when(digits != "", digits.try_cast("bigint")).otherwise(from_number),
+            "_at": parse_datetime_text(clock),
         }
     )
-
-    def k(name: str) -> Column:
-        return F.col(f"_{name}_kind")
-
-    def text(name: str) -> Column:
-        return F.col(f"_{name}_text")
-
-    def missing(name: str) -> Column:
-        return empty(F.col(f"_{name}"), k(name), text(name))
-
-    def unmeasurable(name: str) -> Column:
-        return ~missing(name) & k(name).isin("int", "float", "bool")
+    number, at = F.col("_number"), F.col("_at")
 
     given = F.lit(None).cast("string") if given_unit is None else F.col(given_unit)
-    clock = F.concat(text("date"), F.lit(" "), text("time"))
-    number = F.when(k("cad") == "str", cast_cad(text("cad"))).otherwise(
-        F.try_variant_get("_cad", "$", "bigint")
+    # Rows without any defect are told by cheap tests and never get to the chain.
+    plain = (
+        at.isNotNull()
+        & number.isNotNull()
+        & (unit != "")
+        & ~unit.isin(*_EMPTY)
+        & place.isNotNull()
+        & ~_like_number(raw)
+        & ~_like_number(incident_type)
     )
-    not_an_integer = ~F.coalesce(
-        k("cad").isin("int", "float", "bool")
-        | ((k("cad") == "str") & (integer_text(text("cad")) != "")),
-        F.lit(False),
+    not_an_integer = (digits == "") & ~kind(_value(_CAD)).isin("int", "float", "bool")
+    nothing_notified = _value(_NOTIFIED).isNull() | _empty(
+        _value(_NOTIFIED, "string"), _NOTIFIED
     )
-
-    def no_length(name: str) -> Column:
-        return F.concat(
-            F.lit(OPERATION_FAILED + "object of type '"), k(name), F.lit("' has no len()")
-        )
-
-    checked = typed.withColumns({"_number": number, "_at": parse_datetime_text(clock)})
-    error = (
-        F.when(_not_a_dict(k("header")), _no_attribute(k("header")))
-        .when(given.isNull() & missing("unit"), F.lit(MISSING_FIELD + NO_UNIT))
-        .when(F.col("_cad").isNull() | (k("cad") == "NoneType"), F.lit(MISSING_FIELD + NO_CAD))
+    first_failure = (
+        F.when(_wrong_shape(header, _HEADER), _no_attribute(_HEADER))
+        .when(given.isNull() & _empty(unit, _UNIT), F.lit(MISSING_FIELD + NO_UNIT))
+        .when(cad.isNull(), F.lit(MISSING_FIELD + NO_CAD))
         .when(
             not_an_integer,
             F.concat(
                 F.lit(OPERATION_FAILED + "CAD number '"),
-                text("cad"),
+                cad,
                 F.lit("' cannot be converted to integer"),
             ),
         )
-        .when(_not_a_dict(k("times")), _no_attribute(k("times")))
-        .when(missing("notified"), F.lit(MISSING_FIELD + NO_NOTIFIED))
-        .when(_not_a_dict(k("notified")), _no_attribute(k("notified")))
-        .when(missing("date") | missing("time"), F.lit(MISSING_FIELD + NO_DATE_OR_TIME))
+        .when(_wrong_shape(header["times"], _TIMES), _no_attribute(_TIMES))
+        .when(at.isNull() & nothing_notified, F.lit(MISSING_FIELD + NO_NOTIFIED))
+        .when(_wrong_shape(notified, _NOTIFIED), _no_attribute(_NOTIFIED))
+        .when(
+            at.isNull() & (_empty(date, f"{_NOTIFIED}.date") | _empty(time, f"{_NOTIFIED}.time")),
+            F.lit(MISSING_FIELD + NO_DATE_OR_TIME),
+        )
         .when(
-            F.col("_at").isNull(),
+            at.isNull(),
             F.concat(
                 F.lit(OPERATION_FAILED + "Failed to parse datetime '"),
                 clock,
                 F.lit("': "),
-                datetime_problem(clock, F.col("_at")),
+                datetime_problem(clock, at),
             ),
         )
-        .when(_not_a_dict(k("place")), _no_attribute(k("place")))
-        .when(unmeasurable("raw"), no_length("raw"))
-        .when(unmeasurable("type"), no_length("type"))
+        .when(_wrong_shape(place, _PLACE), _no_attribute(_PLACE))
+        .when(_unmeasurable(raw, _RAW), _no_length(_RAW))
+        .when(_unmeasurable(incident_type, _TYPE), _no_length(_TYPE))
         .when(
-            F.col("_number").isNull(),
+            number.isNull(),
             F.concat(
-                F.lit(OPERATION_FAILED + 'value "'),
-                text("cad"),
-                F.lit('" is out of range for type bigint'),
+                F.lit(OPERATION_FAILED + 'value "'), cad, F.lit('" is out of range for type bigint')
             ),
         )
     )
+    unit_text = F.when(~_empty(unit, _UNIT), unit)
     result = {
-        "incident_number": F.col("_number"),
-        "unit_id": F.coalesce(given, F.when(~missing("unit"), text("unit"))),
-        "incident_date": F.col("_at"),
-        "location": bound_text(text("raw"), LOCATION_MAX_CHARS),
-        "incident_type": bound_text(text("type"), INCIDENT_TYPE_MAX_CHARS),
-        "error": error,
+        "incident_number": number,
+        "unit_id": F.coalesce(given, unit_text),
+        "incident_date": at,
+        "location": bound_text(raw, LOCATION_MAX_CHARS),
+        "incident_type": bound_text(incident_type, INCIDENT_TYPE_MAX_CHARS),
+        "error": F.when(F.coalesce(plain, F.lit(False)), F.lit(None)).otherwise(first_failure),
     }
-    temporary = [c for c in checked.columns if c.startswith("_")]
-    return checked.withColumns(result).drop(*temporary)
+    return parsed.withColumns(result).drop("_shape", "_digits", "_clock", "_number", "_at")
 
 
 def outcome_rows(validated: DataFrame, error_prefix: str = "") -> DataFrame:

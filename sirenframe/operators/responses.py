@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sirenframe.functions import strip_code_fences
 from sirenframe.operators.barrier import computed_once
-from sirenframe.operators.variants import has_key, kind
+from sirenframe.operators.variants import kind
 
 # --- fixed values -----------------------------------------------------------
 PARSE_FAILED = "Failed to parse JSON response: "
@@ -21,53 +21,64 @@ ITEM_ASSIGNMENT = "object does not support item assignment"
 NOT_JSON = "the text is not one JSON value"
 
 
-def parse_whole_json(text: Column) -> Column:
-    """JSON text -> VARIANT; null unless all of the text is one JSON value.
+# Only what the JSON grammar allows (and NaN and Infinity, which are let pass).
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def is_whole_json(text: Column) -> Column:
+    """True where all of the text is one JSON value.
 
     The parser stops after the first value and ignores what follows. The text
-    is therefore parsed as the first of two array items, the second being a
-    hash of the text: only if nothing else stands in the text is that hash the
-    second item.
+    is therefore read as the first of two array items, the second being a hash
+    of the text: that hash is the second item only if nothing else stands in
+    the text.
     """
-    mark = F.xxhash64(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]")))
-    whole = F.try_variant_get(wrapped, "$[1]", "bigint") == mark
-    return F.when(whole, F.try_variant_get(wrapped, "$[0]", "variant"))
+    mark = F.xxhash64(text).cast("string")
+    pair = F.concat(F.lit("["), text, F.lit(","), mark, F.lit("]"))
+    items = F.from_json(pair, "array<string>", _STRICT)
+    return F.coalesce((F.size(items) == 2) & (F.get(items, 1) == mark), F.lit(False))
 
 
 def parse_response(responses: DataFrame) -> DataFrame:
-    """Add `record` (VARIANT), and `error` with `raw_response` where there is none.
+    """Add `content` (JSON text of the record), or `error` and `raw_response`.
 
     A text that is no JSON, and JSON that is no object, are errors.
     """
     cleaned = responses.withColumn("_clean", strip_code_fences(F.col("response_text")))
-    parsed = cleaned.withColumn("_value", parse_whole_json(F.col("_clean")))
-    value, clean = F.col("_value"), F.col("_clean")
+    checked = cleaned.withColumn("_whole", is_whole_json(F.col("_clean")))
+    whole, clean = F.col("_whole"), F.col("_clean")
     is_object = F.startswith(clean, F.lit("{"))
-    kind_error = F.when(F.startswith(clean, F.lit("[")), F.lit(CALL_FAILED + LIST_ITEM)).otherwise(
-        F.concat(F.lit(CALL_FAILED + "'"), kind(value), F.lit(f"' {ITEM_ASSIGNMENT}"))
+    not_object = F.when(F.startswith(clean, F.lit("[")), F.lit(CALL_FAILED + LIST_ITEM)).otherwise(
+        F.concat(
+            F.lit(CALL_FAILED + "'"), kind(F.try_parse_json(clean)), F.lit(f"' {ITEM_ASSIGNMENT}")
+        )
     )
     return computed_once(
-        parsed,
+        checked,
         {
-            "record": F.when(is_object, value),
-            "error": F.when(value.isNull(), F.lit(PARSE_FAILED + NOT_JSON)).when(
-                ~is_object, kind_error
-            ),
-            "raw_response": F.when(value.isNull(), clean),
-            "content": F.when(value.isNotNull() & is_object, clean),
+            "content": F.when(whole & is_object, clean),
+            "error": F.when(~whole, F.lit(PARSE_FAILED + NOT_JSON)).when(~is_object, not_object),
+            "raw_response": F.when(~whole, clean),
         },
-    ).drop("_clean", "_value")
+    ).drop("_clean", "_whole")
+
+
+def has_error_key(content: Column) -> Column:
+    """True where the record has the key `error`, even with a null value.
+
+    The keys are read only where the text holds the word, or an escape that
+    might spell it.
+    """
+    may_have = F.contains(content, F.lit('"error"')) | F.contains(content, F.lit("\\u"))
+    has = F.array_contains(F.json_object_keys(content), "error")
+    return F.coalesce(may_have & has, F.lit(False))
 
 
 def flag_errors(parsed: DataFrame) -> DataFrame:
     """Set `error` also where the record has an `error` key, whatever its value."""
-    stated = F.try_variant_get("record", "$.error", "string")
+    stated = F.coalesce(F.get_json_object("content", "$.error"), F.lit("None"))
     return parsed.withColumn(
-        "error",
-        F.when(has_key(F.col("record"), "$.error"), F.coalesce(stated, F.lit("None"))).otherwise(
-            F.col("error")
-        ),
+        "error", F.when(has_error_key(F.col("content")), stated).otherwise(F.col("error"))
     )
 
 

@@ -1,8 +1,4 @@
-"""Small tests on VARIANT columns.
-
-A missing key is SQL NULL, a JSON null is a variant null; the record rules tell
-the two apart.
-"""
+"""Types of JSON values."""
 
 from __future__ import annotations
 
@@ -30,18 +26,3 @@ def kind(value: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
     integral = F.endswith(schema, F.lit(",0)"))
     return F.when(integral, F.lit("int")).otherwise(F.try_element_at(names, base))
-
-
-def has_key(record: Column, path: str) -> Column:
-    """True where the path exists, even with a null value."""
-    return F.coalesce(F.try_variant_get(record, path, "variant").isNotNull(), F.lit(False))
-
-
-def empty(value: Column, value_kind: Column, text: Column) -> Column:
-    """True for missing, null, '', 0, false, [] and {}."""
-    return (
-        value.isNull()
-        | (value_kind == "NoneType")
-        | ((value_kind == "str") & (text == ""))
-        | ((value_kind != "str") & text.isin("0", "0.0", "false", "[]", "{}"))
-    )

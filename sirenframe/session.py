@@ -8,12 +8,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Runtime settings the operators count on. Adaptive execution splits skewed
-# join partitions and sizes shuffles; the last two keep JSON and clock
-# semantics the same wherever a job runs.
+# join partitions and sizes shuffles; generated methods stay below the size the
+# JVM compiles; JSON and clock semantics are the same wherever a job runs.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
 }
