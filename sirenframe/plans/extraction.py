@@ -54,19 +54,24 @@ _REQUIRED = {
 
 
 def _facts(
-    pages: DataFrame, labels: Mapping[str, Sequence[str]], mapping: Mapping[str, str]
+    pages: DataFrame,
+    labels: Mapping[str, Sequence[str]],
+    mapping: Mapping[str, str],
+    carry: Sequence[str],
 ) -> DataFrame:
     """Per page one header row and one row per activity line; the page text ends here."""
     statuses = tuple(mapping)
     found = pages.select(
         "doc_id",
         "page_no",
+        *carry,
         header_lines(F.col("text"), labels).alias("found"),
         activity_lines(F.col("text"), statuses).alias("lines"),
     )
     read = found.select(
         "doc_id",
         "page_no",
+        *carry,
         F.struct(
             *[c.alias(n) for n, c in header_fields(F.col("found"), labels).items()]
         ).alias("h"),
@@ -74,12 +79,17 @@ def _facts(
     )
     no_line = F.array(F.lit(None).cast("string"))
     rows = read.select(
-        "doc_id", "page_no", "h", F.posexplode(F.concat(no_line, "lines")).alias("line_no", "line")
+        "doc_id",
+        "page_no",
+        *carry,
+        "h",
+        F.posexplode(F.concat(no_line, "lines")).alias("line_no", "line"),
     )
     parsed = activity_columns(F.col("line"), statuses)
     is_header = F.col("line").isNull()
     return rows.select(
         "doc_id",
+        *carry,
         is_header.alias("is_header"),
         (F.col("page_no") * F.lit(LINES_PER_PAGE) + F.col("line_no")).alias("pos"),
         *[F.when(is_header, F.col(f"h.{f}")).alias(f"h_{f}") for f in labels],
@@ -95,9 +105,14 @@ def _first_clock(field: str) -> Column:
 
 
 def _fold(
-    facts: DataFrame, labels: Mapping[str, Sequence[str]], fields: Sequence[str], match_unit: bool
+    facts: DataFrame,
+    labels: Mapping[str, Sequence[str]],
+    fields: Sequence[str],
+    carry: Sequence[str],
+    match_unit: bool,
 ) -> DataFrame:
     first_values = [
+        *[F.max(c).alias(c) for c in carry],
         *[first_by(f"h_{f}", "pos", F.col(f"h_{f}").isNotNull()) for f in labels],
         *[_first_clock(f) for f in fields],
     ]
@@ -107,7 +122,7 @@ def _fold(
         F.bool_or("is_header").alias("is_header"), *first_values
     )
     # At most one header row and one activity row meet here, so max is the value.
-    kept = [*[f"h_{f}" for f in labels], *[f"t_{f}" for f in fields]]
+    kept = [*carry, *[f"h_{f}" for f in labels], *[f"t_{f}" for f in fields]]
     return (
         per_unit.withColumn(
             "unit", F.when(F.col("is_header"), F.col("h_unit_dispatched")).otherwise(F.col("unit_id"))
@@ -125,17 +140,20 @@ def extract_fields(
     mapping: Mapping[str, str] = STATUS_FIELDS,
     suffixes: Sequence[str] = TERRITORY_SUFFIXES,
     match_unit: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: header texts, the eight times, location parts, parsing errors.
 
-    `match_unit=False` reads the activity of all units (the older rule).
+    `match_unit=False` reads the activity of all units (the older rule). `carry`
+    names columns of `pages` of which the highest value per document is kept.
     """
     fields = list(mapping.values())
-    folded = _fold(_facts(pages, labels, mapping), labels, fields, match_unit)
+    folded = _fold(_facts(pages, labels, mapping, carry), labels, fields, carry, match_unit)
     stated = [f for f in labels if f in TIME_FIELDS]
     clock = {**{f: f"h_{f}" for f in stated}, **{f: f"t_{f}" for f in fields}}
     read = folded.select(
         "doc_id",
+        *carry,
         *[F.col(f"h_{f}").alias(f) for f in _TEXT_FIELDS],
         *[
             (parse_datetime_text(F.col(clock[f])) if f in clock else F.lit(None).cast("timestamp_ntz"))
@@ -172,9 +190,9 @@ def unparseable(fields: DataFrame) -> Column:
     return F.coalesce(*[fields[f].cast("string") for f in read]).isNull()
 
 
-def extract_incidents(pages: DataFrame, **rules) -> DataFrame:
-    """doc_id, content (incident JSON, or `{"error": …}`), error."""
-    fields = extract_fields(pages, **rules)
+def extract_incidents(pages: DataFrame, carry: Sequence[str] = (), **rules) -> DataFrame:
+    """doc_id, carried columns, content (incident JSON, or `{"error": …}`), error."""
+    fields = extract_fields(pages, carry=carry, **rules)
     record = incident_record(
         F.col("cad"),
         F.col("unit_dispatched"),
@@ -186,5 +204,5 @@ def extract_incidents(pages: DataFrame, **rules) -> DataFrame:
     error = F.when(unparseable(fields), F.lit(UNPARSEABLE))
     content = F.when(error.isNotNull(), error_json(error)).otherwise(build_incident_json(record))
     return computed_once(fields, {"content": content, "error": error}).select(
-        "doc_id", "content", "error"
+        "doc_id", *carry, "content", "error"
     )

@@ -103,11 +103,8 @@ def ingest_pages(
     at = F.current_timestamp() if created is None else created
 
     def write(batch: DataFrame, batch_no: int) -> None:
-        arrived = batch.groupBy("doc_id").agg(F.max("arrived_at").alias("arrived_at"))
-        answers = extract_incidents(batch, **(rules or {})).select(
-            "doc_id", F.col("content").alias("response_text")
-        )
-        responses = answers.join(arrived, "doc_id")
+        incidents = extract_incidents(batch, carry=["arrived_at"], **(rules or {}))
+        responses = incidents.withColumnRenamed("content", "response_text").drop("error")
         _write_batch(prepare_responses(responses, at, ["doc_id", "arrived_at"]), log, batch_no)
 
     return _start(pages, write, checkpoint, trigger)

@@ -1,0 +1,137 @@
+import os
+import time
+
+from pyspark.sql import functions as F
+
+from conftest import rows
+from sirenframe import shared_dir, sources
+from sirenframe.plans.poll import poll_round
+from sirenframe.sources.documents import append_quarantine, error_file_name
+
+HEAD = (
+    "Message-ID:  {id} \r\nFrom: =?utf-8?q?D=C3=A9sk?= <desk@x.org>\r\nSubject: {subject}\r\n"
+    "MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=\"=_b\"\r\n\r\n"
+)
+BODY = (
+    "--=_b\r\nContent-Type: text/plain\r\n\r\nhello\r\n--=_b\r\n"
+    "Content-Type: multipart/alternative; boundary=\"=_c\"\r\n\r\n--=_c\r\nContent-Type: text/html\r\n\r\n<p>\r\n--=_c--\r\n"
+    "--=_b\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n"
+    "Content-Disposition: inline; filename=\"=?utf-8?B?ZmHDvC5wZGY=?=\"\r\n\r\nJVBERg==\r\n"
+    "--=_b\r\nContent-Type: application/octet-stream\r\n\r\n\r\n--=_b--\r\n"
+)
+
+
+def raw(spark, *messages):
+    data = [("box", seq, True, content.encode()) for seq, content in messages]
+    return spark.createDataFrame(data, "mailbox string, seq long, seen boolean, content binary")
+
+
+def test_message_parts(spark):
+    message = HEAD.format(id="<1>", subject="=?utf-8?q?gr=C3=BC=C3=9Fe?= =?latin-1?q?=E9?= x") + BODY
+    df = raw(spark, (1, message), (2, "no header at all"))
+    head = rows(sources.message_headers(df).select("seq", "message_id", "subject", "sender", "error"))
+    assert head == [(1, "<1>", "grüße é  x", "Désk  <desk@x.org>", None), (2, "", "", "", None)]
+    got = sources.message_parts(df).select("seq", "part_no", "content_type", "filename", F.col("payload").cast("string"))
+    assert rows(got)[:4] == [
+        (1, 0, "text/plain", None, "hello"),
+        (1, 1, "text/html", None, "<p>"),
+        (1, 2, "application/pdf", "faü.pdf", "%PDF"),
+        (1, 3, "application/octet-stream", None, ""),
+    ]
+
+
+def test_undecodable_header_is_a_row_with_an_error(spark):
+    message = HEAD.format(id="<1>", subject="=?no-such-charset?q?x?=") + BODY
+    row = sources.message_headers(raw(spark, (1, message))).first()
+    assert row.message_id == "" and row.error and "desk@x.org" in row.sender
+
+
+def test_poll_round(spark, folder):
+    messages = [(s, HEAD.format(id=f"<{s}>", subject="a Fax") + BODY) for s in (1, 2, 3)]
+    state = f"{folder}/state"
+    held = spark.createDataFrame([("faü.pdf",)], "filename string")
+
+    def run():
+        seen = sources.load_processed_ids(spark, state)
+        result = poll_round(raw(spark, *messages), seen, held, "DESK@", "fax", "20250102_030405")
+        out = rows(result.attachments.select("seq", "filename"), "seq"), rows(result.stats)
+        sources.append_processed_ids(spark, result.new_ids, state)
+        return out
+
+    names, stats = run()
+    assert names == [(1, "faü_20250102_030405.pdf"), (2, "faü_20250102_030405_2.pdf"), (3, "faü_20250102_030405_3.pdf")]
+    assert stats == [("box", 3, 3)]
+    assert run() == ([], [("box", 1, 0)])
+    messages.append((4, HEAD.format(id="<4>", subject="lunch") + BODY))
+    assert run() == ([], [("box", 1, 0)])
+    assert {r[0] for r in rows(sources.load_processed_ids(spark, state))} == {"<1>", "<2>", "<3>", "<4>"}
+
+
+def test_scan_messages(spark, folder):
+    os.makedirs(f"{folder}/box1")
+    for name in ("7.eml", "8.txt"):
+        with open(f"{folder}/box1/{name}", "w") as f:
+            f.write("x")
+    assert rows(sources.scan_messages(spark, folder).drop("content")) == [("box1", 7, True)]
+
+
+def test_seen_set(spark, folder):
+    state = f"{folder}/none"
+    assert sources.load_processed_ids(spark, state).count() == 0
+    ids = spark.createDataFrame([(" <a>",), ("<b>",), ("",), ("<b>",)], "message_id string")
+    sources.append_processed_ids(spark, ids, state)
+    sources.append_processed_ids(spark, spark.createDataFrame([("<b>",), ("<c>",)], "message_id string"), state)
+    assert rows(sources.load_processed_ids(spark, state)) == [("<a>",), ("<b>",), ("<c>",)]
+    assert spark.read.text(state).count() == 3
+
+
+def files(folder, *names):
+    for i, name in enumerate(names):
+        path = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write(name)
+        os.utime(path, (1_700_000_000 - i, 1_700_000_000 - i))
+
+
+def names(df):
+    return [r[0] for r in df.select(F.substring_index("path", "/", -1)).collect()]
+
+
+def test_scan_documents(spark, folder):
+    files(folder, "a.pdf", "z.pdf", "b.PDF", "c.txt", "sub/d.pdf")
+    assert names(sources.scan_documents(spark, folder)) == ["z.pdf", "a.pdf"]
+    assert "content" in sources.scan_documents(spark, folder, with_content=True).columns
+
+
+def test_stream_documents_reads_each_file_once(spark, folder):
+    inbox, out = f"{folder}/in", f"{folder}/out"
+
+    def run():
+        stream = sources.stream_documents(spark, inbox).select("path")
+        (stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c")
+         .trigger(availableNow=True).start(out).awaitTermination())
+        return sorted(names(spark.read.parquet(out)))
+
+    files(inbox, "a.pdf", "b.PDF")
+    assert run() == ["a.pdf"]
+    files(inbox, "e.pdf")
+    assert run() == ["a.pdf", "e.pdf"]
+
+
+def test_quarantine(spark, folder):
+    at = F.lit("2025-01-02 03:04:05").cast("timestamp")
+    cases = {"a.pdf": "a_20250102_030405.pdf", "a.b.PDF": "a.b_20250102_030405.PDF", "a": "a_20250102_030405", ".pdf": ".pdf_20250102_030405"}
+    df = spark.createDataFrame([(n,) for n in cases], "n string")
+    assert dict(rows(df.select("n", error_file_name(F.col("n"), at).alias("e")))) == cases
+    failed = spark.createDataFrame([("d1", "a.pdf", "why")], "doc_id string, original_file string, error string")
+    for _ in range(2):
+        append_quarantine(sources.quarantine_errors(failed, at), f"{folder}/q")
+    assert rows(spark.read.parquet(f"{folder}/q").select("error_file", "error", F.col("error_date").cast("string"))) == [
+        ("a_20250102_030405.pdf", "why", "2025-01-02")] * 2
+
+
+def test_shared_dir_is_under_the_configured_folder(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
+    assert first.startswith(root) and first != second
