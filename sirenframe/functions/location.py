@@ -8,46 +8,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sirenframe.functions.text import strip_space
 from sirenframe.schemas import TERRITORY_SUFFIXES
 
 
-def _filled(text: Column) -> Column:
-    """White space stripped, and null where nothing is left."""
-    return F.nullif(strip_space(text), F.lit(""))
+def _territory_pattern(suffixes: Sequence[str]) -> str:
+    """The territory at the start of a text, as group 1. Possessive: it never gives back a word."""
+    words = "|".join(re.escape(s) for s in suffixes)
+    second = rf"(?:\s+(?:{words})(?=\s|\z))?+" if suffixes else ""
+    return rf"(?s)^\s*+(\S++{second})\s*+"
 
 
-def _before(text: Column, mark: str) -> Column:
-    return F.substring_index(text, mark, 1)
+def _extract(raw: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(raw, pattern, group)
 
 
-def _after(text: Column, mark: str) -> Column:
-    return F.substr(text, F.instr(text, mark) + F.lit(len(mark)))
+def _filled(text: Column) -> Column:
+    return F.nullif(text, F.lit(""))
 
 
 def location_territory(raw: Column, suffixes: Sequence[str] = TERRITORY_SUFFIXES) -> Column:
     """The first word, or the first two where the second is a municipal suffix."""
-    words = "|".join(re.escape(s) for s in suffixes)
-    pattern = rf"^(\S+(?:\s+(?:{words})(?=\s|$))?)" if suffixes else r"^(\S+)"
-    return F.nullif(F.regexp_extract(strip_space(raw), pattern, 1), F.lit(""))
+    return _filled(_extract(raw, _territory_pattern(suffixes), 1))
 
 
 def location_segments(raw: Column, suffixes: Sequence[str] = TERRITORY_SUFFIXES) -> Column:
     """struct(location_name, street_address, apartment) of what follows the territory.
 
     `/` parts a place name from an address; without it `&` makes the whole rest
-    an intersection; `#` parts an address from an apartment.
+    an intersection; `#` parts an address from an apartment. Each part is one
+    pattern over the raw text, so that none is built on another.
     """
-    text = strip_space(raw)
-    rest = strip_space(F.substr(text, F.length(location_territory(raw, suffixes)) + 1))
-    has_name = F.contains(rest, F.lit("/"))
-    address = F.when(has_name, _after(rest, "/")).otherwise(rest)
-    crossing = ~has_name & F.contains(rest, F.lit("&"))
-    has_unit = ~crossing & F.contains(address, F.lit("#"))
+    start = _territory_pattern(suffixes)
+    name = start + r"([^/]*?)\s*/"
+    crossing = start + r"([^/]*&[^/]*?)\s*\z"
+    street = start + r"(?![^/]*&[^/]*\z)(?:[^/]*/\s*)?+([^#]*?)\s*(?:#.*)?\z"
+    apartment = start + r"(?:[^/]*/[^#]*|(?=[^/&]*\z)[^#]*)#\s*(.*?)\s*\z"
     return F.struct(
-        _filled(F.when(has_name, _before(rest, "/"))).alias("location_name"),
-        _filled(F.when(has_unit, _before(address, "#")).otherwise(address)).alias("street_address"),
-        _filled(F.when(has_unit, _after(address, "#"))).alias("apartment"),
+        _filled(_extract(raw, name, 2)).alias("location_name"),
+        _filled(F.concat(_extract(raw, crossing, 2), _extract(raw, street, 2))).alias(
+            "street_address"
+        ),
+        _filled(_extract(raw, apartment, 2)).alias("apartment"),
     )
 
 

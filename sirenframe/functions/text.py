@@ -17,8 +17,14 @@ JSON_FENCE = "```json"
 
 
 def strip_space(text: Column) -> Column:
-    """Text without white space at either end."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """Text without white space at either end.
+
+    Most texts have none there: the trim, which looks up every character, is
+    left to those that do.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    has_space = F.rlike(ends, F.lit(f"[{WHITE_SPACE}]"))
+    return F.when(has_space, F.btrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def contains_ignore_case(text: Column, needle: str) -> Column:

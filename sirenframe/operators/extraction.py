@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sirenframe.functions import parse_datetime_text, split_datetime, strip_space
+from sirenframe.functions import parse_datetime_text, split_datetime
 from sirenframe.schemas import DATE_AND_TIME, HEADER_LABELS, INCIDENT, STATUS_FIELDS, TIME_FIELDS
 
 # Pages put together in one row of `assemble_pages`.
@@ -64,7 +64,7 @@ def _labelled(labels: Sequence[str], all_labels: Sequence[str]) -> str:
         rf"(?im)^[ \t]*(?:{_alternatives(labels)})[ \t]*"
         r"(?::[ \t]*|:?[ \t]*\r?\n[ \t]*)"
         rf"(?!(?:{_alternatives(all_labels)})[ \t]*(?::|$))"
-        r"(\S[^\r\n]*)"
+        r"(\S(?:[^\r\n]*\S)?)"
     )
 
 
@@ -81,9 +81,7 @@ def header_fields(
     """One column per field from the labelled lines; null where the label is absent."""
     every = [label for group in labels.values() for label in group]
     return {
-        field: F.nullif(
-            strip_space(F.regexp_extract(lines, _labelled(group, every), 1)), F.lit("")
-        )
+        field: F.nullif(F.regexp_extract(lines, _labelled(group, every), 1), F.lit(""))
         for field, group in labels.items()
     }
 
