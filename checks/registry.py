@@ -97,7 +97,7 @@ def append_processed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "seen-set")
     state.append_processed_ids(spark, v.processed_ids(spark, sf_dir), path)
     reached = _reached(spark, sf_dir, state.load_processed_ids(spark, path))
-    state.append_processed_ids(spark, selection.handled_ids(reached, v.SUBJECT), path)
+    state.append_processed_ids(spark, selection.handled_ids(reached), path)
     return state.load_processed_ids(spark, path)
 
 

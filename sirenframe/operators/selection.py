@@ -71,10 +71,12 @@ def anti_join_processed(messages: DataFrame, processed_ids: DataFrame) -> DataFr
 
 
 def mark_stops(
-    messages: DataFrame, processed_ids: DataFrame, subject: str, policy: str = "reference"
+    messages: DataFrame, processed_ids: DataFrame, policy: str = "reference"
 ) -> DataFrame:
     """Add `stop`: the row at which a newest-first pass over the mailbox ends.
 
+    `messages` has a boolean `matches` in place of the subject.
+
     policy "reference": an ID in the seen-set, a second copy of an ID in the
     same round, a blank ID, or a subject that does not match.
     policy "seen_only": an ID in the seen-set, or a second copy.
@@ -86,7 +88,7 @@ def mark_stops(
     again = ~blank & (F.col("_copy") > 1)
     stop = F.col("_in_state") | again
     if policy == "reference":
-        stop = stop | blank | ~contains_ignore_case(F.col("subject"), subject)
+        stop = stop | blank | ~F.col("matches")
     return (
         _probe(messages)
         .join(
@@ -112,10 +114,14 @@ def take_until_stop(
 
     Adds `processed`: true before the stop row, false on it (and, with policy
     "seen_only", on passed-over rows that are blank or do not match). Rows past
-    the stop row are not reached. The top-n comes first, so every later window holds at
+    the stop row are not reached. The subject is replaced by `matches` before
+    anything is sorted; then comes the top-n, so every later window holds at
     most `n` rows of a mailbox.
     """
-    marked = mark_stops(newest_n_messages(messages, n), processed_ids, subject, policy)
+    tested = messages.withColumn(
+        "matches", contains_ignore_case(F.col("subject"), subject)
+    ).drop("subject")
+    marked = mark_stops(newest_n_messages(tested, n), processed_ids, policy)
     before = (
         W.partitionBy("mailbox")
         .orderBy(F.col("seq").desc())
@@ -127,9 +133,7 @@ def take_until_stop(
         .filter(F.col("_stops_before") == 0)
         .withColumn(
             "processed",
-            ~F.col("stop")
-            & (F.col("message_id") != "")
-            & contains_ignore_case(F.col("subject"), subject),
+            ~F.col("stop") & (F.col("message_id") != "") & F.col("matches"),
         )
         .drop("_stops_before", "stop")
     )
@@ -143,14 +147,14 @@ def poll_stats(reached: DataFrame) -> DataFrame:
     )
 
 
-def handled_ids(reached: DataFrame, subject: str) -> DataFrame:
+def handled_ids(reached: DataFrame) -> DataFrame:
     """IDs a round adds to the seen-set: processed ones and subject mismatches.
 
     A stop row that is blank adds nothing, and one that is known is known.
     """
-    mismatch: Column = ~contains_ignore_case(F.col("subject"), subject)
+    handled = F.col("processed") | ~F.col("matches")
     return (
-        reached.filter((F.col("processed") | mismatch) & (F.col("message_id") != ""))
+        reached.filter(handled & (F.col("message_id") != ""))
         .select("message_id")
         .distinct()
     )

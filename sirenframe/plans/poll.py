@@ -54,4 +54,4 @@ def poll_round(
     parts = message_parts(bodies).filter("error IS NULL")
     named = attachment_filenames(select_attachments(parts), batch_time)
     attachments = dedupe_filenames(drop_empty_payloads(named), existing_names, batch_time)
-    return Round(attachments, poll_stats(reached), handled_ids(reached, subject))
+    return Round(attachments, poll_stats(reached), handled_ids(reached))
