@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.functions import bound_text, datetime_problem, parse_datetime_text
+from sirenframe.operators.barrier import computed_once
 from sirenframe.operators.variants import kind
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_TYPE_MAX_CHARS, LOCATION_MAX_CHARS
 
@@ -123,7 +124,8 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
     )
     digits, clock = F.col("_digits"), F.col("_clock")
     # A JSON number or boolean is an integer too, though its text may be none.
-    from_number = F.when(kind(_value(_CAD)) != "str", _value(_CAD, "bigint"))
+    maybe_number = F.rlike(cad, F.lit("^(-?[0-9]|true$|false$)"))
+    from_number = F.when(maybe_number & (kind(_value(_CAD)) != "str"), _value(_CAD, "bigint"))
     parsed = read.withColumns(
         {
             "_number": F.when(digits != "", digits.try_cast("bigint")).otherwise(from_number),
@@ -143,7 +145,9 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
         & ~_like_number(raw)
         & ~_like_number(incident_type)
     )
-    not_an_integer = (digits == "") & ~kind(_value(_CAD)).isin("int", "float", "bool")
+    not_an_integer = (digits == "") & ~(
+        maybe_number & kind(_value(_CAD)).isin("int", "float", "bool")
+    )
     nothing_notified = _value(_NOTIFIED).isNull() | _empty(
         _value(_NOTIFIED, "string"), _NOTIFIED
     )
@@ -194,7 +198,7 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
         "incident_type": bound_text(incident_type, INCIDENT_TYPE_MAX_CHARS),
         "error": F.when(F.coalesce(plain, F.lit(False)), F.lit(None)).otherwise(first_failure),
     }
-    return parsed.withColumns(result).drop("_shape", "_digits", "_clock", "_number", "_at")
+    return computed_once(parsed, result).drop("_shape", "_digits", "_clock", "_number", "_at")
 
 
 def outcome_rows(validated: DataFrame, error_prefix: str = "") -> DataFrame:

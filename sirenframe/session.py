@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 # Runtime settings the operators count on. Adaptive execution splits skewed
 # join partitions and sizes shuffles; generated methods stay below the size the
-# JVM compiles; JSON and clock semantics are the same wherever a job runs.
+# JVM compiles; JSON and clock semantics are the same wherever a job runs; the state of a
+# stream, which never forgets an ID, is on disk.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -17,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
