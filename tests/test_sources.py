@@ -1,5 +1,4 @@
 import os
-import time
 
 from pyspark.sql import functions as F
 
