@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sirenframe.llm import exact_dedup as exact
+from sirenframe.llm import simhash
 from sirenframe.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,3 +26,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
