@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sirenframe.llm import exact_dedup as exact
-from sirenframe.llm import simhash
+from sirenframe.llm import packing, simhash, token_files
 from sirenframe.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +34,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     return simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    manifest = token_files.write_tokens(docs, path, token_files.token_folder(spark))
+    return token_files.read_tokens(manifest)
