@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sirenframe.llm import exact_dedup as exact
-from sirenframe.llm import chat, packing, simhash, token_files
+from sirenframe.llm import chat, packing, simhash, token_files, toxicity
 from sirenframe.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
     parts = chat.segments(turns.unionByName(odd))
     return chat.digests(chat.parsed(chat.formatted(parts)))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
