@@ -8,7 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sirenframe.llm import exact_dedup as exact
-from sirenframe.llm import chat, packing, simhash, token_files, toxicity
+from sirenframe.llm import (
+    chat,
+    html_text,
+    packing,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from sirenframe.llm.common import configure, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +76,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages)
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.substring_dedup(docs)
