@@ -26,11 +26,13 @@ from sirenframe.llm.common import free_name, staged, text_of
 SAMPLE_PER_CLASS = 10_000
 FEATURES = 1024
 MIN_DOCS = 3
+# Likelihood ratio (G) that presence of a feature must reach: chance in one of 10,000.
+MIN_RATIO = 15.1
 AFFIXES = (4, 5, 6)
 FOLDS = 3
 HELD_OUT = 1
 THRESHOLD = 0.7
-RIDGE = 1e-3
+RIDGE = 1e-4
 COUNTERFACTUAL = 1.0
 STEPS = 400
 CACHE_WORDS = 400_000
@@ -262,7 +264,8 @@ def _choose(features: DataFrame, n_features: int) -> list[str]:
         + part(positive - p, (total - n) * share)
         + part((total - positive) - (n - p), (total - n) * (1 - share))
     )
-    best = counts.filter(F.col("n") >= MIN_DOCS).orderBy(ratio.desc(), "f").limit(n_features)
+    telling = counts.filter((F.col("n") >= MIN_DOCS) & (2 * ratio >= MIN_RATIO))
+    best = telling.orderBy(ratio.desc(), "f").limit(n_features)
     return sorted(r.f for r in best.collect())
 
 
@@ -282,6 +285,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
+def reject(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under the threshold, with the same columns."""
+    scored = score(docs, model, id_col, text_col)
+    predicted = scored.columns[-1]
+    return scored.filter(f"`{predicted}` = 0").select(*(f"`{c}`" for c in docs.columns))
+
+
 def _scores(model: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score_one = model.scorer()
