@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from sirenframe.llm import exact_dedup as exact
 from sirenframe.llm import (
     chat,
+    hnsw,
     html_text,
     packing,
+    pieces,
     simhash,
     substring_dedup,
     token_files,
@@ -90,3 +92,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.substring_dedup(docs)
+
+
+@query
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents")
+    return pieces.digests(pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
