@@ -40,11 +40,11 @@ def token_pieces(
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).ids
+        encode = encoder(tokenizer_path).all_ids
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["body"]):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), encode(batch["body"].tolist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -185,7 +185,7 @@ def write_tokens(
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).ids
+        encode = encoder(tokenizer_path).all_ids
         files, base = pafs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.pln"
@@ -197,8 +197,9 @@ def write_tokens(
                 files.create_dir(base, recursive=True)
                 stream = files.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(stream, block_ids, bits)
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["body"]):
-                writer.add(None if doc_id is pd.NA else int(doc_id), encode(text) + end)
+            every = encode(batch["body"].tolist())
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), every):
+                writer.add(None if doc_id is pd.NA else int(doc_id), ids + end)
         if writer is not None:
             size = writer.close()
             stream.close()

@@ -2,14 +2,15 @@
 
 Both vocabularies split a text into pieces before they merge bytes, and no piece
 reaches over a blank that stands before a visible character. So a text is cut there,
-and every distinct piece goes through the library once per worker; the cache is
-bounded and holds nothing but the library's own results.
+and every distinct piece goes through the library once per worker, many in one call;
+the cache is bounded and holds nothing but the library's own results.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -17,27 +18,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
+CALL_PIECES = 512
 END_ID = 0
 
 _BLANK_BEFORE_BLANK = re.compile(r" \s")
 _CUT = re.compile(r"(?= \S)")
-
-
-class PieceCache(dict):
-    """Piece -> its IDs as little-endian unsigned 32-bit numbers."""
-
-    def __init__(self, tokenizer: Tokenizer, limit: int = CACHE_PIECES):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.limit = limit
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        self[piece] = packed = np.array(ids, dtype="<u4").tobytes()
-        return packed
+# Letters, then marks that neither vocabulary joins with letters (an apostrophe it may).
+_LETTERS_THEN_MARKS = re.compile(r"( ?[a-zA-ZÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|]+)")
 
 
 class TextEncoder:
@@ -45,21 +33,79 @@ class TextEncoder:
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = PieceCache(self.tokenizer, cache_pieces)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit = cache_pieces
+        # Pieces used lately, and those of the generation before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in special.values()]
+        self.stop_id, stop = max(special.items())
+        self.stop = stop.content
+        normaliser = self.tokenizer.normalizer
+        self.lowers = normaliser is not None and normaliser.normalize_str("A") == "a"
 
     def ids(self, text: str) -> bytes:
         """IDs as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, dtype="<u4").tobytes()
+        return next(self.all_ids([text]))
+
+    def all_ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """ids() of each text, in order; what is new in all of them is encoded together."""
+        cut = [None if any(s in t for s in self.special) else self._pieces(t) for t in texts]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, set()
+        for pieces in cut:
+            for piece in pieces or ():
+                if piece not in young:
+                    if piece in old:
+                        young[piece] = old[piece]
+                    else:
+                        new.add(piece)
+        self._encode(new)
+        for text, pieces in zip(texts, cut):
+            if pieces is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                yield np.array(ids, dtype="<u4").tobytes()
+            else:
+                yield b"".join(map(young.__getitem__, pieces))
+
+    def _pieces(self, text: str) -> list[str]:
         if _BLANK_BEFORE_BLANK.search(text):
-            pieces = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first] if first else []
-            pieces += [" " + piece for piece in rest]
-        return b"".join(map(self.cache.__getitem__, pieces))
+            return _CUT.split(text)
+        first, *rest = text.split(" ")
+        pieces = [first] if first else []
+        return pieces + [" " + piece for piece in rest]
+
+    def _reduced(self, piece: str) -> tuple[str, ...]:
+        """Pieces whose IDs one after the other are those of this piece, commoner than it."""
+        if self.lowers and piece.isascii():
+            piece = piece.lower()
+        match = _LETTERS_THEN_MARKS.fullmatch(piece)
+        return match.groups() if match else (piece,)
+
+    def _encode(self, new: set[str]) -> None:
+        """Add new pieces to the cache; the library encodes each for itself, many in a call."""
+        young = self.young
+        parts = {piece: self._reduced(piece) for piece in new}
+        whole = {part for own in parts.values() for part in own if part not in young}
+        for some in _portions(sorted(whole), CALL_PIECES):
+            # A special token between pieces keeps them apart and marks the places.
+            text = self.stop.join(some)
+            ids = np.array(
+                self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"
+            )
+            stops = (np.flatnonzero(ids == self.stop_id) * 4).tolist()
+            packed = ids.tobytes()
+            for piece, begin, end in zip(some, [0, *(at + 4 for at in stops)], [*stops, len(packed)]):
+                young[piece] = packed[begin:end]
+        for piece, own in parts.items():
+            if own != (piece,):
+                young[piece] = b"".join([young[part] for part in own])
+
+
+def _portions(items: list[str], size: int) -> Iterator[list[str]]:
+    for begin in range(0, len(items), size):
+        yield items[begin : begin + size]
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

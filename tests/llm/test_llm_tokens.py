@@ -30,6 +30,7 @@ TEXTS = [
     "a <|endoftext|> b  <|endoftext|>c",
     "<|startoftext|> hi",
     "tab\tend \r\n x",
+    "The THE the, The. É, Ça! don't. stop... x; ǅ, ß? I'm, 'S.",
     " ".join(f"word{i}" for i in range(3000)),
 ]
 
@@ -44,6 +45,10 @@ def test_cached_ids_equal_one_call_of_the_library(path, cache):
     for text in texts:
         want = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert cut.ids(text) == want, repr(text)
+    together = TextEncoder(path, cache)
+    for begin in range(0, len(texts), 700):
+        part = texts[begin : begin + 700]
+        assert list(together.all_ids(part)) == [cut.ids(t) for t in part]
 
 
 def _fewest(lengths, capacity):
