@@ -141,11 +141,11 @@ MESSAGES = """messages AS (
 processed_ids AS (SELECT '<' || doc_id || '>' AS message_id FROM labels WHERE doc_id % 7 = 0)"""
 
 
-def _reached(policy: str, subject: str = "subject") -> str:
+def _reached(policy: str, subject: str = "subject", fails: str = "FALSE") -> str:
     match = f"contains(lower({subject}), 'the ')"
     stop = "in_state OR (message_id <> '' AND copy > 1)"
     if policy == "reference":
-        stop += f" OR message_id = '' OR NOT {match}"
+        stop += f" OR message_id = '' OR NOT {match} OR {fails}"
     return f"""{MESSAGES}, wanted AS (
   SELECT *, row_number() OVER (PARTITION BY mailbox ORDER BY seq DESC) AS rank
   FROM messages WHERE seen AND contains(lower(sender), 'en.desk@')),
@@ -189,9 +189,10 @@ named AS (
     AND (lower(filename) LIKE '%.pdf' OR content_type = 'application/octet-stream'))"""
 
 _UNIQUE = """CASE WHEN number = 1 THEN filename ELSE
-    regexp_extract(filename, '^(.*)[.][^.]*$', 1) || '_20250102_030405'
-    || CASE WHEN number > 2 THEN '_' || (number - 1) ELSE '' END
-    || '.' || regexp_extract(filename, '[^.]*$') END"""
+    regexp_extract(filename, '^(.*)[.][^.]*$', 1) || '_20250102_030405_' || mailbox || '_' || seq
+    || '_' || part_no || '.' || regexp_extract(filename, '[^.]*$') END"""
+
+_UNKNOWN = "unknown encoding: no-such-charset"
 
 # --- twins ------------------------------------------------------------------
 
@@ -201,11 +202,16 @@ ORACLE: dict[str, str] = {
         NULL::VARCHAR AS content_disposition, NULL::VARCHAR AS filename,
         md5(subject) AS payload_md5, NULL::VARCHAR AS error FROM messages
       UNION ALL SELECT mailbox, seq, message_id, 1, 'application/octet-stream',
-        'ATTACHMENT; filename="fax"', 'fax', md5(subject), NULL FROM messages""",
+        'ATTACHMENT; filename="fax"', 'fax', md5(subject), NULL FROM messages
+      UNION ALL SELECT mailbox, seq, message_id, 2, 'application/octet-stream',
+        'ATTACHMENT; filename="=?no-such-charset?q?x?="', NULL, NULL, '{_UNKNOWN}'
+      FROM messages WHERE seq % 29 = 0""",
     "message_headers": f"""WITH {MESSAGES}
-      SELECT mailbox, seq, seen, message_id, 'report the ' || seq AS subject, sender,
-        NULL::VARCHAR AS error FROM messages""",
-    "load_processed_ids": f"WITH {MESSAGES} SELECT DISTINCT message_id FROM processed_ids",
+      SELECT mailbox, seq, seen, message_id, 'report the ' || seq AS subject,
+        CASE WHEN seq % 37 = 0 THEN '=?no-such-charset?q?x?= <' || sender || '>' ELSE sender END
+          AS sender,
+        CASE WHEN seq % 37 = 0 THEN '{_UNKNOWN}' END AS error FROM messages""",
+    "load_processed_ids": "SELECT DISTINCT '<' || doc_id || '>' AS message_id FROM labels",
     "append_processed_ids": f"""WITH {_reached("reference")}
       SELECT message_id FROM processed_ids
       UNION SELECT message_id FROM reached
@@ -237,12 +243,15 @@ ORACLE: dict[str, str] = {
     "take_until_stop_seen_only": f"""WITH {_reached("seen_only")}
       SELECT mailbox, seq, message_id, processed FROM reached""",
     "poll_stats": f"""WITH {_reached("reference")}
-      SELECT mailbox, count(*) AS emails_checked,
-        count(*) FILTER (processed) AS emails_processed FROM reached GROUP BY mailbox""",
-    "poll_round": f"""WITH {_reached("reference", "'report the '")},
-      named AS (SELECT mailbox, seq, 'fax.pdf' AS filename, subject,
-          1 + row_number() OVER (ORDER BY mailbox, seq) AS number
-        FROM reached WHERE processed AND length(subject) > 0)
+      SELECT mailbox, count(reached.seq) AS emails_checked,
+        count(*) FILTER (processed) AS emails_processed
+      FROM (SELECT DISTINCT mailbox FROM messages) LEFT JOIN reached USING (mailbox)
+      GROUP BY mailbox""",
+    # A stop row that has nothing against it but its second attachment keeps the first one.
+    "poll_round": f"""WITH {_reached("reference", "'report the '", "seq % 29 = 0 OR seq % 37 = 0")},
+      named AS (SELECT mailbox, seq, 1 AS part_no, 'fax.pdf' AS filename, subject, 2 AS number
+        FROM reached WHERE length(subject) > 0 AND (processed OR (seq % 29 = 0 AND seq % 37 <> 0
+          AND message_id <> '' AND copy = 1 AND NOT in_state)))
       SELECT mailbox, seq, {_UNIQUE} AS filename, md5(subject) AS payload_md5 FROM named""",
     "stream_dedup_messages": """SELECT DISTINCT user_id || '-' || event_type AS message_id
       FROM events""",
@@ -253,14 +262,16 @@ ORACLE: dict[str, str] = {
       SELECT mailbox, seq, strlen(payload)::BIGINT AS n_bytes FROM parts WHERE strlen(payload) > 0""",
     "dedupe_filenames": f"""WITH {PARTS},
       held AS (SELECT DISTINCT filename FROM named WHERE mailbox = 'm0' AND seq % 2 = 0),
-      numbered AS (SELECT mailbox, seq, n.filename,
-          row_number() OVER (PARTITION BY n.filename ORDER BY mailbox, seq)
+      numbered AS (SELECT mailbox, seq, part_no, n.filename,
+          row_number() OVER (PARTITION BY n.filename ORDER BY mailbox, seq DESC, part_no)
             + (h.filename IS NOT NULL)::INT AS number
-        FROM named n LEFT JOIN held h ON n.filename = h.filename WHERE mailbox <> 'm0')
+        FROM named n LEFT JOIN held h ON n.filename = h.filename
+        WHERE NOT (mailbox = 'm0' AND seq % 2 = 0))
       SELECT mailbox, seq, {_UNIQUE} AS filename FROM numbered""",
     "daypart": """SELECT CASE WHEN hour(ts) >= 23 OR hour(ts) < 6 THEN 'night' ELSE 'day' END
         AS daypart, count(*) AS n FROM events GROUP BY 1""",
-    "assemble_pages": """SELECT conv_id AS doc_id, turn // 1000 AS part_no, count(*) AS n_pages,
+    "assemble_pages": """SELECT conv_id AS doc_id, turn // 1000 AS part_no,
+        sum(count(*)) OVER (PARTITION BY conv_id)::BIGINT AS n_pages,
         string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2""",
     "page_text": """SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations
       WHERE turn = 1""",
@@ -299,7 +310,7 @@ ORACLE: dict[str, str] = {
       SELECT * FROM problems""",
     "unparseable_documents": """SELECT doc_id,
         '{"error":"no incident field could be extracted from the document"}' AS content
-      FROM documents WHERE doc_id % 3 <> 0""",
+      FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 11 = 0""",
     "strip_code_fences": f"WITH {RESPONSES} SELECT doc_id, text FROM responses",
     "parse_response": f"""WITH {RESPONSES}
       SELECT doc_id,

@@ -86,7 +86,7 @@ def message_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def load_processed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "seen-set")
-    ids = v.processed_ids(spark, sf_dir)
+    ids = v.labelled_ids(spark, sf_dir)
     padded = ids.select(F.explode(F.array(F.concat(F.lit(" "), "message_id"), "message_id", F.lit(" "))))
     padded.write.text(path)
     return state.load_processed_ids(spark, path)
@@ -171,7 +171,9 @@ def take_until_stop_seen_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def poll_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.poll_stats(_reached(spark, sf_dir, v.processed_ids(spark, sf_dir)))
+    mailboxes = v.messages(spark, sf_dir).select("mailbox").distinct()
+    reached = _reached(spark, sf_dir, v.processed_ids(spark, sf_dir))
+    return selection.poll_stats(reached, mailboxes)
 
 
 @query
@@ -227,10 +229,11 @@ def drop_empty_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedupe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.parts(spark, sf_dir)
-    held = _named(rows.filter("mailbox = 'm0'")).filter(F.col("seq") % 2 == 0)
-    new = _named(rows.filter("mailbox <> 'm0'")).drop("payload")
-    return attachments.dedupe_filenames(new, held, v.BATCH_TIME).select(*_PART)
+    rows = _named(v.parts(spark, sf_dir))
+    old = (F.col("mailbox") == "m0") & v.every("seq", 2)
+    return attachments.dedupe_filenames(rows.filter(~old), rows.filter(old), v.BATCH_TIME).select(
+        *_PART
+    )
 
 
 @query

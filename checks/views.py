@@ -15,6 +15,7 @@ from sirenframe import configure
 BATCH_TIME = "20250102_030405"
 SENDER = "EN.Desk@"
 SUBJECT = "THE "
+UNDECODABLE = "=?no-such-charset?q?x?="
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,12 +112,17 @@ def dispatch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole document texts as one-page documents, one in three under a number label."""
+    """Whole document texts as one-page documents, one in three under a number label.
+
+    One page in eleven could not be read: its text is null.
+    """
     label = F.when(every("doc_id", 3), F.concat(F.lit("CAD: "), F.col("doc_id"), F.lit("\n")))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.lit(0).alias("page_no"),
-        F.concat(F.coalesce(label, F.lit("")), F.col("text")).alias("text"),
+        F.when(
+            ~every("doc_id", 11), F.concat(F.coalesce(label, F.lit("")), F.col("text"))
+        ).alias("text"),
     )
 
 
@@ -291,7 +297,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ID for every label."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select(_message_id(F.col("doc_id")).alias("message_id"))
+
+
 def processed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which messages were handled before: one labelled document in seven."""
     return (
         table(spark, sf_dir, "labels")
         .filter(every("doc_id", 7))
@@ -307,30 +320,35 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("=?utf-8?B?"), F.base64(text.cast("binary")), F.lit("?="))
 
     subject = F.concat(F.lit("report the "), F.col("seq"))
+    from_ = F.when(
+        every("seq", 37), F.concat(F.lit(UNDECODABLE + " <"), F.col("sender"), F.lit(">"))
+    ).otherwise(F.col("sender"))
     head = F.concat_ws(
         "\r\n",
         F.concat(F.lit("Message-ID:  "), F.col("message_id"), F.lit(" ")),
         F.concat(F.lit("Subject: "), encoded_word(subject)),
-        F.concat(F.lit("From: "), F.col("sender")),
+        F.concat(F.lit("From: "), from_),
         F.lit("MIME-Version: 1.0"),
         F.lit('Content-Type: multipart/mixed; boundary="=_part_=_"'),
         F.lit("\r\n--=_part_=_"),
         F.lit("Content-Type: text/plain; charset=utf-8"),
         F.lit("Content-Transfer-Encoding: 8bit\r\n\r\n"),
     )
-    middle = F.concat_ws(
-        "\r\n",
-        F.lit("\r\n--=_part_=_"),
-        F.lit("Content-Type: application/octet-stream"),
-        F.lit('Content-Disposition: ATTACHMENT; filename="fax"'),
-        F.lit("Content-Transfer-Encoding: base64\r\n\r\n"),
-    )
+
+    def attachment(name: str) -> Column:
+        lines = F.concat_ws(
+            "\r\n",
+            F.lit("\r\n--=_part_=_"),
+            F.lit("Content-Type: application/octet-stream"),
+            F.lit(f'Content-Disposition: ATTACHMENT; filename="{name}"'),
+            F.lit("Content-Transfer-Encoding: base64\r\n\r\n"),
+        )
+        return F.concat(lines, F.base64(F.col("subject").cast("binary")))
+
+    # A second attachment whose name cannot be decoded.
+    bad_name = F.when(every("seq", 29), attachment(UNDECODABLE)).otherwise(F.lit(""))
     content = F.concat(
-        head,
-        F.col("subject"),
-        middle,
-        F.base64(F.col("subject").cast("binary")),
-        F.lit("\r\n--=_part_=_--\r\n"),
+        head, F.col("subject"), attachment("fax"), bad_name, F.lit("\r\n--=_part_=_--\r\n")
     )
     return m.select("mailbox", "seq", "seen", content.cast("binary").alias("content"))
 

@@ -10,16 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.functions import contains_ignore_case
-from sirenframe.operators.ranking import blocked_row_number
 
 # --- fixed values -----------------------------------------------------------
 PDF_TYPE = "application/pdf"
 OCTET_TYPE = "application/octet-stream"
 NEVER_ATTACHMENTS = ("text/plain", "text/html", "multipart/alternative", "multipart/mixed")
 
-# Sequence numbers per block when copies of a file name are numbered.
-BLOCK_OF_MESSAGES = 10_000
-
 
 def _is_type(content_type: str) -> Column:
     return F.col("content_type") == content_type
@@ -70,25 +66,46 @@ def drop_empty_payloads(parts: DataFrame) -> DataFrame:
 def dedupe_filenames(
     parts: DataFrame, existing_names: DataFrame, batch_time: str
 ) -> DataFrame:
-    """Give every part a name of its own.
-
-    The first part of a new name keeps it. Where the name is taken, by an
-    earlier part or in `existing_names(filename)`, `_{batch_time}` goes before
-    the last extension, and from the third holder on a running number after it.
+    """mailbox, seq, part_no and a `filename` that no other part has, for every part.
+
+    Messages are handled newest first, so the newest holder of a new name keeps
+    it. Where the name is taken, by such a part or in `existing_names(filename)`,
+    `_{batch_time}_{mailbox}_{seq}_{part_no}` goes before the last extension, and
+    a checksum of these after it in case that name is taken, too. Only keys and
+    names are moved: a hot name is counted map-side, and joins are by row key or
+    by names that differ.
     """
-    held = existing_names.select("filename").distinct().withColumn("_new", F.lit(False))
-    numbered = blocked_row_number(
-        parts.withColumn("_new", F.lit(True)).unionByName(held, allowMissingColumns=True),
-        group=["filename"],
-        block=[F.col("_new"), F.col("mailbox"), F.floor(F.col("seq") / BLOCK_OF_MESSAGES)],
-        order=["seq", "part_no"],
-        name="_number",
-    ).filter("_new")
-    number = F.col("_number")
+    key = ["mailbox", "seq", "part_no"]
+    rows = parts.select(*key, "filename")
+    taken = existing_names.select("filename").distinct()
+    place = F.struct("mailbox", (-F.col("seq")).alias("newest"), "part_no", "seq")
+    keepers = (
+        rows.groupBy("filename")
+        .agg(F.min(place).alias("first"))
+        .join(taken, "filename", "left_anti")
+        .select(*[F.col(f"first.{c}").alias(c) for c in key], F.lit(True).alias("_keeps"))
+    )
     extension = F.substring_index("filename", ".", -1)
     stem = F.left("filename", F.length("filename") - F.length(extension) - 1)
-    again = F.when(number > 2, F.concat(F.lit("_"), number - 1)).otherwise(F.lit(""))
-    unique = F.concat(stem, F.lit(f"_{batch_time}"), again, F.lit("."), extension)
-    return numbered.withColumn(
-        "filename", F.when(number == 1, F.col("filename")).otherwise(unique)
-    ).drop("_number", "_new")
+    suffix = F.concat_ws("_", F.lit(batch_time), *[F.col(c).cast("string") for c in key])
+    made = F.concat(stem, F.lit("_"), suffix, F.lit("."), extension)
+    surer = F.concat(stem, F.lit("_"), suffix, F.lit("_"), F.sha2(suffix, 256), F.lit("."), extension)
+    named = rows.join(keepers, key, "left").withColumns(
+        {"_made": F.when(F.col("_keeps").isNull(), made), "_surer": surer}
+    )
+    given = (
+        rows.select("filename").union(taken).distinct().select(F.col("filename").alias("_made"), F.lit(True).alias("_held"))
+    )
+    # A name that stays has no made one: its row must not go to one task with the others.
+    probe = F.coalesce("_made", F.concat(F.lit("/"), suffix))
+    return (
+        named.withColumn("_made", probe)
+        .join(given, "_made", "left")
+        .select(
+            *key,
+            F.when(F.col("_keeps"), F.col("filename"))
+            .when(F.col("_held"), F.col("_surer"))
+            .otherwise(F.col("_made"))
+            .alias("filename"),
+        )
+    )

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from sirenframe.functions import parse_datetime_text, split_datetime
 from sirenframe.schemas import DATE_AND_TIME, HEADER_LABELS, INCIDENT, STATUS_FIELDS, TIME_FIELDS
@@ -26,22 +27,30 @@ LINES_PER_PAGE = 1 << 32
 
 
 def assemble_pages(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """All pages of a document in page order: as one text, as a list, and counted.
+    """One row per part of a document: its pages in page order, as one text and as a list.
 
-    A document longer than `pages_per_part` comes in several rows, numbered by
-    `part_no`, so that no task has to hold a document of unlimited length.
+    A part is a stretch of `pages_per_part` page numbers, so that no task has to
+    hold a document of unlimited length; `part_no` numbers them, whatever the
+    length. `n_pages` is the page count of the whole document, on every row.
+    The page texts are moved once; only counts go the second way.
     """
     part = F.floor(F.col("page_no") / pages_per_part).alias("part_no")
-    return (
+    counts = (
         pages.groupBy("doc_id", part)
-        .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
-        .select(
-            "doc_id",
-            "part_no",
-            F.size("pages").cast("bigint").alias("n_pages"),
-            F.array_join(F.col("pages.text"), "\n").alias("text"),
-            "pages",
-        )
+        .agg(F.count("*").alias("_own"))
+        .withColumn("n_pages", F.sum("_own").over(W.partitionBy("doc_id")))
+        .drop("_own")
+    )
+    texts = pages.groupBy("doc_id", part).agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages")
+    )
+    # Plain equality keeps the partitioning of the texts; a null key counts for itself.
+    return texts.join(counts, ["doc_id", "part_no"], "left").select(
+        "doc_id",
+        "part_no",
+        F.coalesce("n_pages", F.size("pages").cast("bigint")).alias("n_pages"),
+        F.array_join(F.col("pages.text"), "\n").alias("text"),
+        "pages",
     )
 
 
@@ -69,9 +78,9 @@ def _labelled(labels: Sequence[str], all_labels: Sequence[str]) -> str:
 
 
 def header_lines(text: Column, labels: Mapping[str, Sequence[str]] = HEADER_LABELS) -> Column:
-    """The labelled lines of a page, found in one pass over its text."""
+    """The labelled lines of a page, found in one pass over its text; a null text has none."""
     every = [label for group in labels.values() for label in group]
-    found = F.regexp_extract_all(text, F.lit(_labelled(every, every)), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_labelled(every, every)), F.lit(0))
     return F.array_join(found, "\n")
 
 
@@ -119,8 +128,8 @@ def _activity_line(statuses: Sequence[str]) -> str:
 
 
 def activity_lines(text: Column, statuses: Sequence[str] = tuple(STATUS_FIELDS)) -> Column:
-    """The unit-activity lines of a page, in line order."""
-    return F.regexp_extract_all(text, F.lit(_activity_line(statuses)), F.lit(0))
+    """The unit-activity lines of a page, in line order; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_activity_line(statuses)), F.lit(0))
 
 
 def activity_columns(

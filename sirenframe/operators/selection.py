@@ -75,10 +75,10 @@ def mark_stops(
 ) -> DataFrame:
     """Add `stop`: the row at which a newest-first pass over the mailbox ends.
 
-    `messages` has a boolean `matches` in place of the subject.
+    `messages` has booleans `matches` and `failed` in place of the subject.
 
     policy "reference": an ID in the seen-set, a second copy of an ID in the
-    same round, a blank ID, or a subject that does not match.
+    same round, a blank ID, a subject that does not match, or a failed message.
     policy "seen_only": an ID in the seen-set, or a second copy.
     """
     if policy not in ("reference", "seen_only"):
@@ -88,7 +88,7 @@ def mark_stops(
     again = ~blank & (F.col("_copy") > 1)
     stop = F.col("_in_state") | again
     if policy == "reference":
-        stop = stop | blank | ~F.col("matches")
+        stop = stop | blank | ~F.col("matches") | F.col("failed")
     return (
         _probe(messages)
         .join(
@@ -113,13 +113,21 @@ def take_until_stop(
     """The newest `n` rows of each mailbox, newest first, up to the stop row.
 
     Adds `processed`: true before the stop row, false on it (and, with policy
-    "seen_only", on passed-over rows that are blank or do not match). Rows past
-    the stop row are not reached. The subject is replaced by `matches` before
-    anything is sorted; then comes the top-n, so every later window holds at
-    most `n` rows of a mailbox.
+    "seen_only", on passed-over rows that are blank, failed or do not match).
+    Rows past the stop row are not reached. The subject is replaced by `matches`
+    and `failed` before anything is sorted; then comes the top-n, so every later
+    window holds at most `n` rows of a mailbox.
+
+    A message with an `error` (a column that may be absent) is failed if its
+    subject is null or matches: it is to be tried again.
     """
-    tested = messages.withColumn(
-        "matches", contains_ignore_case(F.col("subject"), subject)
+    error = F.col("error") if "error" in messages.columns else F.lit(None).cast("string")
+    matches = contains_ignore_case(F.col("subject"), subject)
+    tested = messages.withColumns(
+        {
+            "matches": matches,
+            "failed": error.isNotNull() & (F.col("subject").isNull() | matches),
+        }
     ).drop("subject")
     marked = mark_stops(newest_n_messages(tested, n), processed_ids, policy)
     before = (
@@ -133,26 +141,62 @@ def take_until_stop(
         .filter(F.col("_stops_before") == 0)
         .withColumn(
             "processed",
-            ~F.col("stop") & (F.col("message_id") != "") & F.col("matches"),
+            ~F.col("stop")
+            & (F.col("message_id") != "")
+            & F.col("matches")
+            & ~F.col("failed"),
         )
         .drop("_stops_before", "stop")
     )
 
 
-def poll_stats(reached: DataFrame) -> DataFrame:
-    """Per mailbox: rows reached (the stop row too) and rows processed."""
-    return reached.groupBy("mailbox").agg(
-        F.count("*").alias("emails_checked"),
+def poll_stats(reached: DataFrame, mailboxes: DataFrame | None = None) -> DataFrame:
+    """Per mailbox: rows reached (the stop row too) and rows processed.
+
+    With `mailboxes` (column mailbox) those without any row have 0 and 0.
+    """
+    rows = reached.select("mailbox", F.lit(1).alias("_one"), "processed")
+    if mailboxes is not None:
+        quiet = mailboxes.select("mailbox", F.lit(0).alias("_one"), F.lit(False).alias("processed"))
+        rows = rows.unionByName(quiet)
+    return rows.groupBy("mailbox").agg(
+        F.sum("_one").alias("emails_checked"),
         F.count_if(F.col("processed")).alias("emails_processed"),
     )
 
 
+def cut_at_failures(
+    reached: DataFrame, failures: DataFrame, policy: str = "reference"
+) -> DataFrame:
+    """`reached` once it is known which messages (mailbox, seq) cannot be processed.
+
+    Such a message is failed and not processed. With policy "reference" it is
+    the last one reached.
+    """
+    known = reached.join(
+        failures.select("mailbox", "seq", F.lit(True).alias("_fails")).distinct(),
+        ["mailbox", "seq"],
+        "left",
+    ).withColumn("_fails", F.coalesce("_fails", F.lit(False)) & F.col("processed"))
+    # At most the newest n rows of a mailbox are here.
+    last = F.max(F.when(F.col("_fails"), F.col("seq"))).over(W.partitionBy("mailbox"))
+    kept = known.withColumn("_last", last)
+    if policy == "reference":
+        kept = kept.filter(F.col("_last").isNull() | (F.col("seq") >= F.col("_last")))
+    return kept.withColumns(
+        {
+            "processed": F.col("processed") & ~F.col("_fails"),
+            "failed": F.col("failed") | F.col("_fails"),
+        }
+    ).drop("_fails", "_last")
+
+
 def handled_ids(reached: DataFrame) -> DataFrame:
     """IDs a round adds to the seen-set: processed ones and subject mismatches.
 
-    A stop row that is blank adds nothing, and one that is known is known.
+    A stop row that is blank or failed adds nothing, and one that is known is known.
     """
-    handled = F.col("processed") | ~F.col("matches")
+    handled = F.col("processed") | (~F.col("matches") & ~F.col("failed"))
     return (
         reached.filter(handled & (F.col("message_id") != ""))
         .select("message_id")

@@ -147,7 +147,8 @@ def extract_fields(
     `match_unit=False` reads the activity of all units (the older rule). `carry`
     names columns of `pages` of which the highest value per document is kept.
     """
-    fields = list(mapping.values())
+    # Several statuses may stand for one field.
+    fields = list(dict.fromkeys(mapping.values()))
     folded = _fold(_facts(pages, labels, mapping, carry), labels, fields, carry, match_unit)
     stated = [f for f in labels if f in TIME_FIELDS]
     clock = {**{f: f"h_{f}" for f in stated}, **{f: f"t_{f}" for f in fields}}

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators count on. Adaptive execution splits skewed
 # join partitions and sizes shuffles; generated methods stay below the size the
@@ -34,13 +33,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the folder the cluster shares.
 
-    The root is `spark.checkpoint.dir`. Only a local session without that
-    setting falls back to a temporary folder: on a cluster the executors would
-    not see it.
+    The root is `spark.checkpoint.dir`, and the warehouse, which executors
+    share too, where that is not set.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="sirenframe-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/sirenframe/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows written to a new shared folder and read back: computed once, lineage cut."""
+    spark = rows.sparkSession
+    path = shared_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

@@ -2,13 +2,14 @@
 
 The one place where Python code runs in tasks: MIME has no Spark expression.
 The standard `email` package parses each message inside `mapInPandas`; a
-message that cannot be decoded becomes a row with `error`, not an exception.
+header or part that cannot be decoded is a row with `error`, not an exception.
 """
 
 from __future__ import annotations
 
 import email
 import email.header
+import email.message
 import email.parser
 from collections.abc import Iterator
 
@@ -54,15 +55,36 @@ def _text(value: object) -> str:
 
 
 def _header_row(mailbox: str, seq: int, seen: bool, content: bytes) -> tuple:
-    """An undecodable message keeps its sender if it can and has a blank ID."""
-    sender = ""
+    """An undecodable subject is null, an undecodable sender stays as it is written."""
+    message_id, subject, sender, errors = "", None, "", []
     try:
         head = email.parser.BytesHeaderParser().parsebytes(content)
-        sender = decode_header(head.get("From"))
+        message_id = _text(head.get("Message-ID")).strip()
+    except Exception as problem:  # noqa: BLE001 - the row reports it
+        return mailbox, seq, seen, message_id, subject, sender, str(problem)
+    try:
         subject = decode_header(head.get("Subject"))
-        return mailbox, seq, seen, _text(head.get("Message-ID")).strip(), subject, sender, None
     except Exception as problem:  # noqa: BLE001 - the row reports it
-        return mailbox, seq, seen, "", "", sender, str(problem)
+        errors.append(str(problem))
+    try:
+        sender = decode_header(head.get("From"))
+    except Exception as problem:  # noqa: BLE001 - the row reports it
+        sender = _text(head.get("From"))
+        errors.append(str(problem))
+    return mailbox, seq, seen, message_id, subject, sender, "; ".join(errors) or None
+
+
+def _part_row(key: tuple, part_no: int, part: email.message.Message) -> tuple:
+    """A part whose name or payload cannot be decoded has neither, and says why."""
+    kind = disposition = None
+    try:
+        kind = part.get_content_type()
+        given = part.get("Content-Disposition")
+        disposition = given and str(given)
+        name = decode_header(part.get_filename()) or None
+        return *key, part_no, kind, disposition, name, part.get_payload(decode=True), None
+    except Exception as problem:  # noqa: BLE001 - the row reports it
+        return *key, part_no, kind, disposition, None, None, str(problem)
 
 
 def _part_rows(mailbox: str, seq: int, content: bytes) -> list[tuple]:
@@ -71,22 +93,10 @@ def _part_rows(mailbox: str, seq: int, content: bytes) -> list[tuple]:
         message = email.message_from_bytes(content)
         message_id = _text(message.get("Message-ID")).strip()
         leaves = [p for p in message.walk() if p.get_content_maintype() != "multipart"]
-        return [
-            (
-                mailbox,
-                seq,
-                message_id,
-                part_no,
-                part.get_content_type(),
-                part.get("Content-Disposition") and str(part.get("Content-Disposition")),
-                decode_header(part.get_filename()) or None,
-                part.get_payload(decode=True),
-                None,
-            )
-            for part_no, part in enumerate(leaves)
-        ]
     except Exception as problem:  # noqa: BLE001 - the row reports it
         return [(mailbox, seq, message_id, None, None, None, None, None, str(problem))]
+    key = (mailbox, seq, message_id)
+    return [_part_row(key, part_no, part) for part_no, part in enumerate(leaves)]
 
 
 def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,14 +126,21 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def message_headers(raw: DataFrame) -> DataFrame:
     """One row per message: mailbox, seq, seen, message_id, subject, sender, error.
 
-    `raw` has mailbox, seq, seen, content. Bodies are not parsed.
+    `raw` has mailbox, seq, seen, content. Only the bytes before the first
+    empty line go to Python. `subject` is null where it cannot be decoded.
     """
-    return raw.select("mailbox", "seq", "seen", "content").mapInPandas(_headers, MESSAGE_HEADERS)
+    # Latin-1 maps every byte to one character and back.
+    text = F.decode("content", "ISO-8859-1")
+    head = F.regexp_extract(text, r"(?s)\A(.*?)(?:\r?\n\r?\n|\z)", 1)
+    return raw.select(
+        "mailbox", "seq", "seen", F.encode(head, "ISO-8859-1").alias("content")
+    ).mapInPandas(_headers, MESSAGE_HEADERS)
 
 
 def message_parts(raw: DataFrame) -> DataFrame:
     """One row per non-container part, in walk order; `payload` is transfer-decoded.
 
-    `raw` has mailbox, seq, content.
+    `raw` has mailbox, seq, content. A part that cannot be decoded has `error`;
+    a message that cannot be read at all is one row without `part_no`.
     """
     return raw.select("mailbox", "seq", "content").mapInPandas(_parts, MESSAGE_PARTS)

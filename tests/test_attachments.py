@@ -50,12 +50,30 @@ def test_names_are_unique_and_nothing_is_lost(spark):
     data += [part(1, PDF, None, "held.pdf"), part(2, PDF, None, "held.pdf"), part(3, PDF, None, "new.pdf")]
     held = spark.createDataFrame([("held.pdf",), ("held.pdf",), ("other.pdf",)], "filename string")
     got = a.dedupe_filenames(spark.createDataFrame(data, SCHEMA), held, AT)
+    # Newest first: the highest number of the first mailbox keeps the name.
     assert rows(got.select("mailbox", "seq", "filename"), "mailbox", "seq") == [
-        ("m", 1, f"held_{AT}.pdf"),
-        ("m", 2, f"held_{AT}_2.pdf"),
+        ("m", 1, f"held_{AT}_m_1_0.pdf"),
+        ("m", 2, f"held_{AT}_m_2_0.pdf"),
         ("m", 3, "new.pdf"),
-        ("m1", 5, "a.b.pdf"),
-        ("m1", 20_005, f"a.b_{AT}.pdf"),
-        ("m2", 5, f"a.b_{AT}_2.pdf"),
-        ("m2", 20_005, f"a.b_{AT}_3.pdf"),
+        ("m1", 5, f"a.b_{AT}_m1_5_0.pdf"),
+        ("m1", 20_005, "a.b.pdf"),
+        ("m2", 5, f"a.b_{AT}_m2_5_0.pdf"),
+        ("m2", 20_005, f"a.b_{AT}_m2_20005_0.pdf"),
     ]
+
+
+def test_made_names_do_not_meet_given_or_existing_ones(spark):
+    made = [f"a_{AT}_m_{s}_0.pdf" for s in (1, 2)]
+    data = [part(s, PDF, None, "a.pdf") for s in (1, 2, 3)] + [part(4, PDF, None, made[0])]
+    held = spark.createDataFrame([(made[1],)], "filename string")
+    got = [r.filename for r in a.dedupe_filenames(spark.createDataFrame(data, SCHEMA), held, AT).collect()]
+    assert len(got) == len(set(got)) == 4 and made[1] not in got
+    assert "a.pdf" in got and made[0] in got
+
+
+def test_payload_does_not_move_when_names_are_made(spark):
+    df = spark.createDataFrame([part(1, PDF, None, "a.pdf")], SCHEMA)
+    held = spark.createDataFrame([("a.pdf",)], "filename string")
+    plan = a.dedupe_filenames(df, held, AT)._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan[: plan.index("LogicalRDD")]
+    assert "payload" not in joins

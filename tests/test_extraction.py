@@ -145,9 +145,32 @@ def test_fused_plan_reads_pages_once_and_shuffles_twice(spark):
 def test_assemble_pages_splits_long_documents(spark):
     df = spark.createDataFrame([("d", i, f"p{i}") for i in range(25)], PAGES)
     got = rows(x.assemble_pages(df, pages_per_part=10).select("part_no", "n_pages", "text"))
-    assert [(a, b) for a, b, _ in got] == [(0, 10), (1, 10), (2, 5)]
+    assert [(a, b) for a, b, _ in got] == [(0, 25), (1, 25), (2, 25)]
     assert "\n".join(t for _, _, t in got) == "\n".join(f"p{i}" for i in range(25))
     assert rows(x.page_text(df, 3).select("text")) == [("p3",)]
+    long = spark.createDataFrame([("e", i, "p") for i in range(1001)] + [("f", 0, None)], PAGES)
+    assert rows(x.assemble_pages(long).select("doc_id", "part_no", "n_pages")) == [
+        ("e", 0, 1001), ("e", 1, 1001), ("f", 0, 1)]
+
+
+def test_page_texts_move_once_when_pages_are_put_together(spark):
+    plan = x.assemble_pages(spark.createDataFrame([("d", 0, "p")], PAGES))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Texts by part; counts by part, by document, and by part again.
+    assert len(moved) == 4 and plan.count("collect_list") == 2
+
+
+def test_documents_without_text_are_not_lost(spark):
+    df = spark.createDataFrame([("a", 0, SHEET), ("b", 0, None), ("c", 0, None), ("c", 1, SHEET)], PAGES)
+    got = {r.doc_id: r.error for r in extract_incidents(df).collect()}
+    assert got == {"a": None, "b": x.UNPARSEABLE, "c": None}
+    assert rows(x.activity_rows(df.filter("doc_id = 'b'"))) == []
+
+
+def test_two_statuses_may_stand_for_one_field(spark):
+    df = spark.createDataFrame([("d", 0, "Unit Dispatched: U1\nU1 1/1/2025 1:2:3 SCENE\nU1 1/1/2025 1:2:9 ONLOC")], PAGES)
+    got = extract_fields(df, mapping={"ONLOC": "onScene", "SCENE": "onScene"}).first()
+    assert str(got.onScene) == "2025-01-01 01:02:03"
 
 
 def test_pretty_json(spark):

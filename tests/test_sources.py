@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from sirenframe import shared_dir, sources
-from sirenframe.plans.poll import poll_round
+from sirenframe.plans.poll import poll_round, save_attachments
 from sirenframe.sources.documents import append_quarantine, error_file_name
 
 HEAD = (
@@ -42,7 +42,64 @@ def test_message_parts(spark):
 def test_undecodable_header_is_a_row_with_an_error(spark):
     message = HEAD.format(id="<1>", subject="=?no-such-charset?q?x?=") + BODY
     row = sources.message_headers(raw(spark, (1, message))).first()
-    assert row.message_id == "" and row.error and "desk@x.org" in row.sender
+    assert row.message_id == "<1>" and row.subject is None and row.error and "desk@x.org" in row.sender
+    message = HEAD.format(id="<1>", subject="a fax").replace("=?utf-8?q?D=C3=A9sk?=", "=?none?q?x?=") + BODY
+    row = sources.message_headers(raw(spark, (1, message))).first()
+    assert row.error and row.subject == "a fax" and row.sender == "=?none?q?x?= <desk@x.org>"
+
+
+def pdf(name):
+    return ("--=_b\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: base64\r\n"
+            f"Content-Disposition: attachment; filename=\"{name}\"\r\n\r\nJVBERg==\r\n")
+
+
+def mail(seq, *attachments, sender="<desk@x.org>"):
+    head = HEAD.format(id=f"<{seq}>", subject="a Fax").replace("=?utf-8?q?D=C3=A9sk?= <desk@x.org>", sender)
+    return seq, head + "".join(attachments) + "--=_b--\r\n"
+
+
+def one_round(spark, messages, policy="reference"):
+    none = spark.createDataFrame([], "message_id string")
+    held = spark.createDataFrame([], "filename string")
+    return poll_round(raw(spark, *messages), none, held, "DESK@", "fax", "20250102_030405", policy=policy)
+
+
+def test_failed_part_ends_the_pass_and_keeps_what_came_before(spark):
+    bad = "=?no-such-charset?q?x?="
+    messages = [mail(3, pdf("c.pdf")), mail(2, pdf("good.pdf"), pdf(bad), pdf("late.pdf")), mail(1, pdf("old.pdf"))]
+    result = one_round(spark, messages)
+    assert rows(result.attachments.select("seq", "filename")) == [(2, "good.pdf"), (3, "c.pdf")]
+    assert rows(result.stats) == [("box", 2, 1)]
+    assert rows(result.new_ids) == [("<3>",)]
+    assert rows(result.failed) == [("box", 2, "<2>")]
+    passed = one_round(spark, messages, "seen_only")
+    assert rows(passed.new_ids) == [("<1>",), ("<3>",)]
+    assert rows(passed.attachments.select("filename")) == [("c.pdf",), ("good.pdf",), ("old.pdf",)]
+
+
+def test_undecodable_name_of_no_attachment_fails_nothing(spark):
+    text = "--=_b\r\nContent-Type: text/plain; name=\"=?none?q?x?=\"\r\n\r\nhello\r\n"
+    result = one_round(spark, [mail(1, text, pdf("a.pdf"))])
+    assert rows(result.attachments.select("filename")) == [("a.pdf",)] and rows(result.failed) == []
+
+
+def test_undecodable_sender_is_the_stop_row(spark):
+    result = one_round(spark, [mail(2, pdf("b.pdf"), sender="=?none?q?x?= <desk@x.org>"), mail(1, pdf("a.pdf"))])
+    assert rows(result.stats) == [("box", 1, 0)]
+    assert rows(result.new_ids) == [] and rows(result.attachments.select("seq")) == []
+    assert rows(result.failed) == [("box", 2, "<2>")]
+
+
+def test_attachments_become_document_files(spark, folder):
+    result = one_round(spark, [mail(1, pdf("a.pdf"))])
+    save_attachments(result.attachments, f"{folder}/inbox", "20250102_030405")
+    saved = spark.read.parquet(f"{folder}/inbox").first()
+    assert saved.path.endswith("/inbox/a.pdf") and bytes(saved.content) == b"%PDF" and saved.length == 4
+
+
+def test_unread_mail_and_bodies_stay_out_of_python(spark):
+    plan = sources.message_headers(raw(spark, mail(1)).filter("seen"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.index("MapInPandas") < plan.index("Filter")
 
 
 def test_poll_round(spark, folder):
@@ -58,7 +115,7 @@ def test_poll_round(spark, folder):
         return out
 
     names, stats = run()
-    assert names == [(1, "faü_20250102_030405.pdf"), (2, "faü_20250102_030405_2.pdf"), (3, "faü_20250102_030405_3.pdf")]
+    assert names == [(s, f"faü_20250102_030405_box_{s}_2.pdf") for s in (1, 2, 3)]
     assert stats == [("box", 3, 3)]
     assert run() == ([], [("box", 1, 0)])
     messages.append((4, HEAD.format(id="<4>", subject="lunch") + BODY))
