@@ -196,7 +196,13 @@ _UNKNOWN = "unknown encoding: no-such-charset"
 
 # --- twins ------------------------------------------------------------------
 
+_LINES = """SELECT line, count(*) AS n
+      FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+      GROUP BY line"""
+
 ORACLE: dict[str, str] = {
+    "scan_documents": _LINES,
+    "stream_documents": _LINES,
     "message_parts": f"""WITH {MESSAGES}
       SELECT mailbox, seq, message_id, 0::BIGINT AS part_no, 'text/plain' AS content_type,
         NULL::VARCHAR AS content_disposition, NULL::VARCHAR AS filename,

@@ -17,7 +17,12 @@ from sirenframe.plans.ingest import prepare_responses
 from sirenframe.plans.poll import poll_round as run_round
 from sirenframe.schemas import INCIDENT_TYPE_MAX_CHARS, LOCATION_MAX_CHARS, TIME_FIELDS
 from sirenframe.sources import documents, messages, state
-from sirenframe.streaming import current_incidents, dedup_messages, ingest_responses, ingested
+from sirenframe.streaming import (
+    compact_incidents,
+    dedup_messages,
+    incident_table,
+    ingest_responses,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,21 +40,37 @@ def _times_as_text(rows: DataFrame) -> DataFrame:
 # --- sources, sinks, state --------------------------------------------------
 
 
+TEXT_FILES = 12
+ORDER_FILES = 4
+
+
+def _text_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All document texts as a few text files."""
+    folder = shared_dir(spark, "texts")
+    texts = v.table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartition(TEXT_FILES).write.text(folder)
+    return folder
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """Every line of the files; each text ends with a line feed."""
+    content = F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "")
+    return files.select(F.explode(F.split(content, "\n")).alias("line"))
+
+
 @query
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v.configure(spark)
-    files = documents.scan_documents(spark, sf_dir, "*.parquet")
-    return files.select(documents.file_name(F.col("path")).alias("name"), "length")
+    folder = _text_folder(spark, sf_dir)
+    files = documents.scan_documents(spark, folder, "*.txt", with_content=True)
+    return _lines(files).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v.configure(spark)
-    folder = shared_dir(spark, "documents")
-    stream = documents.stream_documents(spark, sf_dir, "*.parquet", max_files_per_trigger=5)
-    names = stream.select(documents.file_name(F.col("path")).alias("name"), "length")
-    _run(names, folder)
-    return spark.read.parquet(f"{folder}/rows")
+    source, folder = _text_folder(spark, sf_dir), shared_dir(spark, "documents")
+    stream = documents.stream_documents(spark, source, "*.txt", max_files_per_trigger=5)
+    _run(_lines(stream), folder)
+    return spark.read.parquet(f"{folder}/rows").groupBy("line").agg(F.count("*").alias("n"))
 
 
 def _run(stream: DataFrame, folder: str) -> None:
@@ -479,16 +500,30 @@ def incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = v.table(spark, sf_dir, "orders")
     folder = shared_dir(spark, "ingest")
-    stream = spark.readStream.schema(source.schema).parquet(v.stream_path(sf_dir, "orders"))
-    texts = v.as_responses(v.as_record_fields(stream), "customer")
-    log = f"{folder}/log"
-    created = F.lit("2025-01-02 03:04:05").cast("timestamp")
-    ingest_responses(
-        texts, log, f"{folder}/checkpoint", created, availableNow=True
-    ).awaitTermination()
-    table = current_incidents(ingested(spark, log))
+    log, snapshots, inbox = f"{folder}/log", f"{folder}/snapshots", f"{folder}/inbox"
+    source = v.table(spark, sf_dir, "orders")
+
+    def deliver(checkpoint: str) -> None:
+        """Everything in the inbox that the checkpoint does not know, a file per micro-batch."""
+        stream = (
+            spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        )
+        texts = v.as_responses(v.as_record_fields(stream), "customer")
+        created = F.lit("2025-01-02 03:04:05").cast("timestamp")
+        ingest_responses(texts, log, checkpoint, created, availableNow=True).awaitTermination()
+
+    # All orders of a customer are in one file, so the last one is the same in any file order.
+    files = source.repartition(ORDER_FILES, "o_custkey")
+    part = F.pmod(F.hash("o_custkey"), F.lit(ORDER_FILES))
+    files.filter(part < ORDER_FILES - 1).write.parquet(inbox)
+    deliver(f"{folder}/checkpoint")
+    # A lost checkpoint: all batches so far come once more.
+    deliver(f"{folder}/checkpoint-again")
+    compact_incidents(spark, log, snapshots)
+    files.filter(part == ORDER_FILES - 1).coalesce(1).write.mode("append").parquet(inbox)
+    deliver(f"{folder}/checkpoint")
+    table = incident_table(spark, log, snapshots)
     return table.select(
         "incident_number",
         "unit_id",

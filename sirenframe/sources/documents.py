@@ -11,9 +11,10 @@ DOCUMENT_GLOB = "*.pdf"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
 
 
-def _files(reader, folder: str, glob: str) -> DataFrame:
-    # The glob is part of the path: files of the folder itself, no subfolders.
-    return reader.format("binaryFile").load(f"{folder.rstrip('/')}/{glob}")
+def _matches(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop_path)
+    return found is not None and len(found) > 0
 
 
 def scan_documents(
@@ -21,9 +22,15 @@ def scan_documents(
 ) -> DataFrame:
     """Top-level files that match `glob` (case-sensitive), oldest first, path breaking ties.
 
-    Without `content` only the listing is sorted and no file is opened.
+    Without `content` only the listing is sorted and no file is opened. A folder
+    without a match, or that does not exist yet, has no files.
     """
-    files = _files(spark.read, folder, glob)
+    # The glob is part of the path: files of the folder itself, no subfolders.
+    path = f"{folder.rstrip('/')}/{glob}"
+    if _matches(spark, path):
+        files = spark.read.format("binaryFile").load(path)
+    else:
+        files = spark.createDataFrame([], BINARY_FILE)
     return (files if with_content else files.drop("content")).orderBy("modificationTime", "path")
 
 
@@ -32,14 +39,19 @@ def stream_documents(
     folder: str,
     glob: str = DOCUMENT_GLOB,
     max_files_per_trigger: int = 1000,
+    **options: str,
 ) -> DataFrame:
-    """The same files as a stream: each once per checkpoint, oldest first."""
+    """The same files as a stream: each once per checkpoint, oldest first.
+
+    `options` go to the reader, such as cleanSource="archive" with sourceArchiveDir.
+    """
     reader = (
         spark.readStream.format("binaryFile")
         .schema(BINARY_FILE)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .option("latestFirst", "false")
         .option("pathGlobFilter", glob)
+        .options(**options)
     )
     return reader.load(folder)
 

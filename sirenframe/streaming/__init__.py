@@ -4,6 +4,7 @@ from sirenframe.streaming.dedup import dedup_messages
 from sirenframe.streaming.ingest import (
     compact_incidents,
     current_incidents,
+    incident_table,
     ingest_pages,
     ingest_responses,
     ingested,
@@ -15,6 +16,7 @@ __all__ = [
     "compact_incidents",
     "current_incidents",
     "dedup_messages",
+    "incident_table",
     "ingest_pages",
     "ingest_responses",
     "ingested",

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 64
+SALT = "_salt"
+
 
 def dedup_messages(
     messages: DataFrame, within: str | None = None, event_time: str | None = None
@@ -15,10 +18,18 @@ def dedup_messages(
     number of IDs: run it on the RocksDB state store. With `within` (a delay)
     and `event_time` an ID is forgotten once the watermark has passed, which
     bounds the state.
+
+    One ID may be most of the stream: copies are dropped by (message_id, salt)
+    first, the salt being the task that read the row, so no task gets all copies.
+    At most `SALTS` rows of an ID, over all time, reach the second step.
     """
-    named = messages.filter(F.col("message_id") != "")
+    named = messages.filter(F.col("message_id") != "").withColumn(
+        SALT, F.spark_partition_id() % SALTS
+    )
     if within is None:
-        return named.dropDuplicates(["message_id"])
+        return named.dropDuplicates(["message_id", SALT]).dropDuplicates(["message_id"]).drop(SALT)
     if event_time is None:
         raise ValueError("a bounded dedup needs the event_time column")
-    return named.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["message_id"])
+    late = named.withWatermark(event_time, within)
+    spread = late.dropDuplicatesWithinWatermark(["message_id", SALT])
+    return spread.dropDuplicatesWithinWatermark(["message_id"]).drop(SALT)

@@ -9,8 +9,9 @@ batch, not of the table.
 - quarantine:     failed documents             (`quarantine`)
 - outcomes:       one row per document         (`outcomes`)
 
-`compact_incidents` writes the incident table of a log to a new folder, from
-which a reader can start instead of the older batches.
+`compact_incidents` writes the incident table of a log to a snapshot folder
+named by its last batch; `incident_table` starts from the newest snapshot and
+folds the later batches only.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from sirenframe.operators.upsert import latest_by_key
+from sirenframe.operators.extraction import error_json
+from sirenframe.operators.upsert import latest_by_key, upsert_incidents
 from sirenframe.plans.extraction import extract_incidents
 from sirenframe.plans.ingest import prepare_responses
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_PAYLOAD
@@ -44,6 +46,8 @@ LOG = T.StructType(
         T.StructField("success", T.BooleanType()),
     ]
 )
+# Error of a document that a micro-batch holds in part.
+INCOMPLETE = "incomplete document, pages here: "
 # Order in which documents are processed; the last one of a key wins.
 PROCESSING_ORDER = ("batch_no", "arrived_at", "doc_id")
 
@@ -77,9 +81,10 @@ def ingest_responses(
     """Stream of (doc_id, arrived_at, response_text) -> log.
 
     `created` is the creation time of a row that turns out to be an insert; by
-    default the time of its batch. A trigger may be named (`availableNow=True`).
+    default the time its document arrived, which is the same when a batch is
+    delivered again. A trigger may be named (`availableNow=True`).
     """
-    at = F.current_timestamp() if created is None else created
+    at = F.col("arrived_at") if created is None else created
 
     def write(batch: DataFrame, batch_no: int) -> None:
         _write_batch(prepare_responses(batch, at, ["doc_id", "arrived_at"]), log, batch_no)
@@ -95,23 +100,40 @@ def ingest_pages(
     rules: dict | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Stream of (doc_id, arrived_at, page_no, text) -> log.
+    """Stream of (doc_id, arrived_at, page_no, n_pages, text) -> log.
 
-    All pages of a document have to be in one micro-batch, as all rows of a
-    file are.
+    `n_pages` is the page count of the document. A document of which a
+    micro-batch does not hold that many pages, or of which the count is not
+    known, is quarantined, not stored in part.
     """
-    at = F.current_timestamp() if created is None else created
+    at = F.col("arrived_at") if created is None else created
 
     def write(batch: DataFrame, batch_no: int) -> None:
         incidents = extract_incidents(batch, carry=["arrived_at"], **(rules or {}))
-        responses = incidents.withColumnRenamed("content", "response_text").drop("error")
+        counts = batch.groupBy("doc_id").agg(
+            F.count_distinct("page_no").alias("_here"), F.max("n_pages").alias("_pages")
+        )
+        whole = F.coalesce(F.col("_here") == F.col("_pages"), F.lit(False))
+        problem = F.concat(
+            F.lit(INCOMPLETE), F.col("_here"), F.lit(" of "), F.coalesce(F.col("_pages").cast("string"), F.lit("?"))
+        )
+        responses = incidents.join(counts, "doc_id").select(
+            "doc_id",
+            "arrived_at",
+            F.when(whole, F.col("content")).otherwise(error_json(problem)).alias("response_text"),
+        )
         _write_batch(prepare_responses(responses, at, ["doc_id", "arrived_at"]), log, batch_no)
 
     return _start(pages, write, checkpoint, trigger)
 
 
 def ingested(spark: SparkSession, log: str) -> DataFrame:
-    """All rows of a log. `batch_no` and `success` are folders, so filters on them prune."""
+    """All rows of a log. `batch_no` and `success` are folders, so filters on them prune.
+
+    A log without any batch yet has no rows.
+    """
+    if not _folders(spark, log, "batch_no"):
+        return spark.createDataFrame([], LOG)
     return spark.read.schema(LOG).option("basePath", log).parquet(log)
 
 
@@ -145,6 +167,28 @@ def outcomes(rows: DataFrame) -> DataFrame:
     )
 
 
-def compact_incidents(rows: DataFrame, path: str) -> None:
-    """Write the incident table of log rows to a new folder."""
-    current_incidents(rows).write.mode("errorifexists").parquet(path)
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers n of the folders `{path}/{name}={n}` that are written in full."""
+    # A log has two levels below a batch, a snapshot has one: both end in a success mark.
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def incident_table(spark: SparkSession, log: str, snapshots: str) -> DataFrame:
+    """The incident table of a log: the newest snapshot, and the batches after it."""
+    rows = ingested(spark, log)
+    taken = _folders(spark, snapshots, "batch_no")
+    if not taken:
+        return current_incidents(rows)
+    before = spark.read.parquet(f"{snapshots.rstrip('/')}/batch_no={taken[-1]}")
+    later = rows.filter(F.col("success") & (F.col("batch_no") > taken[-1]))
+    return upsert_incidents(before, later, PROCESSING_ORDER)
+
+
+def compact_incidents(spark: SparkSession, log: str, snapshots: str) -> None:
+    """Write a snapshot as of the last batch, from the one before; nothing if there is no new batch."""
+    batches, taken = _folders(spark, log, "batch_no"), _folders(spark, snapshots, "batch_no")
+    if batches and (not taken or taken[-1] < batches[-1]):
+        table = incident_table(spark, log, snapshots)
+        table.write.mode("overwrite").parquet(f"{snapshots.rstrip('/')}/batch_no={batches[-1]}")

@@ -160,6 +160,19 @@ def test_scan_documents(spark, folder):
     assert "content" in sources.scan_documents(spark, folder, with_content=True).columns
 
 
+def test_folder_without_documents(spark, folder):
+    assert sources.scan_documents(spark, folder).count() == 0
+    assert sources.scan_documents(spark, f"{folder}/none", with_content=True).columns[-1] == "content"
+
+
+def test_stream_documents_takes_reader_options(spark, folder):
+    files(f"{folder}/in", "a.pdf")
+    stream = sources.stream_documents(spark, f"{folder}/in", cleanSource="delete").select("path")
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/c").trigger(
+        availableNow=True).start(f"{folder}/out").awaitTermination()
+    assert names(spark.read.parquet(f"{folder}/out")) == ["a.pdf"]
+
+
 def test_stream_documents_reads_each_file_once(spark, folder):
     inbox, out = f"{folder}/in", f"{folder}/out"
 

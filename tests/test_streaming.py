@@ -60,8 +60,40 @@ def test_ingest_batch_by_batch(spark, folder):
     done = rows(st.outcomes(log_rows).select("doc_id", "success"))
     assert len(done) == 7 and sum(ok for _, ok in done) == 4
 
-    st.compact_incidents(log_rows, f"{folder}/table")
-    assert rows(spark.read.parquet(f"{folder}/table").select("incident_number", "location")) == [(1, None), (2, "L")]
+    def stored():
+        return rows(st.incident_table(spark, log, f"{folder}/snapshots").select(
+            "incident_number", "location", F.month("created_date")))
+
+    assert stored() == want
+    st.compact_incidents(spark, log, f"{folder}/snapshots")
+    st.compact_incidents(spark, log, f"{folder}/snapshots")
+    assert os.listdir(f"{folder}/snapshots") == ["batch_no=1"] and stored() == want
+    put(spark, source, "3", [("h.pdf", "2025-01-01 00:00:00", response("2", "new")), ("i.pdf", "2025-01-01 00:00:00", response("3"))])
+    ingest(spark, source, log, check, "2025-04-01")
+    assert stored() == table(spark, log) == [(1, None, 2), (2, "new", 2), (3, "L", 4)]
+    plan = st.incident_table(spark, log, f"{folder}/snapshots")._jdf.queryExecution().executedPlan().toString()
+    assert "batch_no#" in plan and "> 1)" in plan
+    st.compact_incidents(spark, log, f"{folder}/snapshots")
+    assert stored() == table(spark, log)
+
+
+def test_empty_log_has_no_rows(spark, folder):
+    assert st.ingested(spark, f"{folder}/none").count() == 0
+    assert st.incident_table(spark, f"{folder}/none", f"{folder}/snapshots").count() == 0
+    st.compact_incidents(spark, f"{folder}/none", f"{folder}/snapshots")
+    assert not os.path.exists(f"{folder}/snapshots")
+
+
+def test_default_creation_time_is_the_same_on_redelivery(spark, folder):
+    source, log = f"{folder}/in", f"{folder}/log"
+    put(spark, source, "1", BATCH1)
+    before = None
+    for checkpoint in ("one", "two"):
+        stream = spark.readStream.schema(RESPONSES).parquet(source)
+        st.ingest_responses(stream, log, f"{folder}/{checkpoint}", availableNow=True).awaitTermination()
+        now = sorted(map(str, st.ingested(spark, log).collect()))
+        assert before in (None, now)
+        before = now
 
 
 def test_redelivery_changes_nothing(spark, folder):
@@ -84,17 +116,18 @@ def test_log_filters_prune_folders(spark, folder):
 
 
 def test_ingest_pages(spark, folder):
-    schema = "doc_id string, arrived_at timestamp, page_no int, text string"
+    schema = "doc_id string, arrived_at timestamp, page_no int, n_pages int, text string"
     sheet = "CAD: 7\nUnit Dispatched: U1\nIncident Type: EMS\nDispatch Time: 1/1/2025 1:1:1\nLocation: EASTON 1 MILL RD"
-    put(spark, f"{folder}/in", "1", [("a.pdf", "2025-01-01 00:00:00", 0, sheet), ("a.pdf", "2025-01-01 00:00:00", 1, "U1 1/1/2025 1:2:3 RESP"),
-                                     ("b.pdf", "2025-01-01 00:00:00", 0, "?")], schema)
+    put(spark, f"{folder}/in", "1", [("a.pdf", "2025-01-01 00:00:00", 0, 2, sheet), ("a.pdf", "2025-01-01 00:00:00", 1, 2, "U1 1/1/2025 1:2:3 RESP"),
+                                     ("b.pdf", "2025-01-01 00:00:00", 0, 1, "?"), ("c.pdf", "2025-01-01 00:00:00", 0, 2, sheet)], schema)
     stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
     st.ingest_pages(stream, f"{folder}/log", f"{folder}/check", availableNow=True).awaitTermination()
     log_rows = st.ingested(spark, f"{folder}/log")
     row = st.current_incidents(log_rows).first()
     assert (row.incident_number, row.unit_id, row.location) == (7, "U1", "EASTON 1 MILL RD")
     assert json.loads(row.content)["incidentTimes"]["times"]["enRoute"] == {"date": "01/01/2025", "time": "01:02:03"}
-    assert [r.doc_id for r in st.quarantine(log_rows).collect()] == ["b.pdf"]
+    failed = {r.doc_id: r.error for r in st.quarantine(log_rows).collect()}
+    assert failed.keys() == {"b.pdf", "c.pdf"} and failed["c.pdf"].endswith("pages here: 1 of 2")
 
 
 def test_dedup_over_restarts(spark, folder):
@@ -109,3 +142,16 @@ def test_dedup_over_restarts(spark, folder):
 
     assert run(["<a>", "<b>", "<a>", ""]) == [("<a>",), ("<b>",)]
     assert run(["<b>", "<c>"]) == [("<a>",), ("<b>",), ("<c>",)]
+
+
+def test_dedup_of_a_hot_id_over_a_restart(spark, folder):
+    source, out = f"{folder}/in", f"{folder}/out"
+    hot = F.when(F.col("id") % 3 == 0, F.lit("<hot>")).otherwise(F.concat(F.lit("<"), F.col("id") % 500, F.lit(">")))
+    for _ in range(2):
+        spark.range(3000).repartition(4).select(hot.alias("message_id")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("message_id string").parquet(source)
+        query = (st.dedup_messages(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/c")
+                 .trigger(availableNow=True).start(out))
+        query.awaitTermination()
+        got = [r.message_id for r in spark.read.parquet(out).collect()]
+        assert len(got) == len(set(got)) == 501
