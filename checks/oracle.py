@@ -57,13 +57,16 @@ headers AS (
     CASE WHEN u % 17 = 0 THEN '02/30/2024 06:07:08'
       ELSE '01/' || lpad(d::VARCHAR, 2, '0') || '/2024 06:07:08' END AS notifiedByDispatch,
     CASE WHEN u % 19 = 0 THEN NULL WHEN u % 23 = 0 THEN 'EASTON TWP'
-      ELSE 'EASTON TWP PLAZA / ' || u || ' MAIN ST #' || d END AS location_raw
+      ELSE 'EASTON TWP PLAZA / ' || u || ' MAIN ST #' || d END AS location_raw,
+    CASE WHEN u % 5 = 0 THEN '01/' || lpad(d::VARCHAR, 2, '0') || '/2024 07:08:09' END
+      AS arrivedAtPatient,
+    NULL::VARCHAR AS destinationPatientTransferOfCare
   FROM docs)"""
 
 RECORDS = """records AS (
   SELECT o_orderkey AS k, o_custkey AS customer, o_orderdate AS ordered,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 'X' || o_orderkey
-      WHEN o_orderkey % 5 = 0 THEN ' ' || o_orderkey || ' ' ELSE o_orderkey::VARCHAR END AS cad,
+      WHEN o_orderkey % 5 = 0 THEN ' ' || o_orderkey || chr(12288) ELSE o_orderkey::VARCHAR END AS cad,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 31 = 0 THEN ''
       ELSE 'U' || (o_orderkey % 4) END AS unit,
     CASE WHEN o_orderkey % 17 = 0 THEN '02/30/1998' WHEN o_orderkey % 19 = 0 THEN ''
@@ -78,7 +81,7 @@ ERRORS = f"""{RECORDS}, checked AS (
   SELECT *, CASE
     WHEN coalesce(unit, '') = '' THEN 'Missing required field in PCR JSON: ''incidentTimes.unit_dispatched not found and unit_id not provided'''
     WHEN cad IS NULL THEN 'Missing required field in PCR JSON: ''incidentTimes.cad'''
-    WHEN try_cast(trim(cad) AS BIGINT) IS NULL THEN 'Database operation failed: CAD number ''' || cad || ''' cannot be converted to integer'
+    WHEN try_cast(trim(cad, ' ' || chr(12288)) AS BIGINT) IS NULL THEN 'Database operation failed: CAD number ''' || cad || ''' cannot be converted to integer'
     WHEN k % 23 = 0 THEN 'Database operation failed: ''NoneType'' object has no attribute ''get'''
     WHEN date = '' THEN 'Missing required field in PCR JSON: ''notifiedByDispatch.date or notifiedByDispatch.time'''
     WHEN try_strptime(date || ' ' || time, '%m/%d/%Y %H:%M:%S') IS NULL THEN 'Database operation failed: Failed to parse datetime ''' || date || ' ' || time || ''': day is out of range for month'
@@ -329,14 +332,16 @@ ORACLE: dict[str, str] = {
     "token_usage": f"""WITH {RESPONSES}
       SELECT doc_id, left(text, length(text) - 1) || ',"_token_usage":{{"prompt_tokens":' || doc_id
         || ',"completion_tokens":' || (doc_id % 100)
-        || ',"total_tokens":' || (doc_id + doc_id % 100) || '}}}}' AS content
+        || ',"total_tokens":' || (doc_id + doc_id % 100) || '}}}}' AS content,
+        CASE WHEN kind = 'good' THEN regexp_extract(text, '[0-9]+') END AS stored_k,
+        FALSE AS stored_usage
       FROM responses WHERE kind IN ('good', 'error key')""",
     "resolve_unit_id": f"""WITH {RECORDS}
       SELECT k, nullif(unit, '') AS dispatched,
         CASE WHEN k % 3 = 0 THEN '' WHEN k % 4 = 0 THEN 'GIVEN' ELSE nullif(unit, '') END
           AS resolved FROM records""",
     "cast_cad": f"""WITH {RECORDS}
-      SELECT k, try_cast(trim(cad) AS BIGINT) AS incident_number FROM records""",
+      SELECT k, try_cast(trim(cad, ' ' || chr(12288)) AS BIGINT) AS incident_number FROM records""",
     "parse_incident_date": f"""WITH {RECORDS}
       SELECT k, {TS.format("try_strptime(date || ' ' || time, '%m/%d/%Y %H:%M:%S')")}
         AS incident_date FROM records""",
@@ -347,7 +352,7 @@ ORACLE: dict[str, str] = {
     "validate_record": f"WITH {ERRORS} SELECT k, error FROM checked",
     "outcome_rows": f"""WITH {ERRORS}
       SELECT k::VARCHAR AS doc_id, error IS NULL AS success,
-        CASE WHEN error IS NULL THEN trim(cad)::BIGINT END AS incident_number,
+        CASE WHEN error IS NULL THEN trim(cad, ' ' || chr(12288))::BIGINT END AS incident_number,
         CASE WHEN error IS NULL THEN unit END AS unit_id,
         'Database save failed: ' || error AS error FROM checked""",
     "enforce_constraints": f"""WITH {INCIDENT_ROWS}
@@ -368,7 +373,7 @@ ORACLE: dict[str, str] = {
         {", ".join(f"CASE WHEN k % 11 <> 0 THEN {c} END AS {c}" for c in
             ("territory", "location_name", "street_address", "apartment"))}
       FROM segments""",
-    "ingest_pipeline": f"""WITH {ERRORS.replace("try_cast(trim(cad) AS BIGINT) IS NULL", "FALSE")
+    "ingest_pipeline": f"""WITH {ERRORS.replace("try_cast(trim(cad, ' ' || chr(12288)) AS BIGINT) IS NULL", "FALSE")
         .replace("WHEN cad IS NULL", "WHEN FALSE")}
       SELECT customer AS incident_number, unit AS unit_id, '2025-01-02 03:04:05' AS created_date,
         {TS.format("strptime(date || ' ' || time, '%m/%d/%Y %H:%M:%S')")} AS incident_date,
@@ -424,7 +429,9 @@ ORACLE["build_incident_json"] = f"""WITH {DERIVED}, {HEADERS.split(ACTIVITY + ",
   joined AS (
     SELECT h.doc_id, h.u, h.cad, h.unit_dispatched, h.incident_type, h.location_raw,
       try_strptime(h.notifiedByDispatch, '%m/%d/%Y %H:%M:%S') AS notifiedByDispatch,
-      {", ".join(f"t.{f}" for f in FIELDS[1:])}
+      coalesce(try_strptime(h.arrivedAtPatient, '%m/%d/%Y %H:%M:%S'), t.arrivedAtPatient)
+        AS arrivedAtPatient,
+      {", ".join(f"t.{f}" for f in FIELDS[1:] if f != "arrivedAtPatient")}
     FROM headers h LEFT JOIN derived t USING (doc_id)),
   pieces AS (
     SELECT *,

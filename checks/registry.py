@@ -279,8 +279,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = extraction.extract_header_fields(v.dispatch_pages(spark, sf_dir))
-    return headers.drop("arrivedAtPatient", "destinationPatientTransferOfCare")
+    return extraction.extract_header_fields(v.dispatch_pages(spark, sf_dir))
 
 
 @query
@@ -396,10 +395,17 @@ def route_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = responses.parse_response(v.responses(spark, sf_dir))
-    return parsed.filter("error IS NULL").select(
+    attached = parsed.filter("error IS NULL").select(
         "doc_id",
         responses.attach_token_usage(F.col("content"), F.col("token_usage")).alias("content"),
     )
+    stored = attached.withColumn("stored", responses.drop_token_usage(F.col("content")))
+    return stored.select(
+        "doc_id",
+        "content",
+        F.get_json_object("stored", "$.k").alias("stored_k"),
+        F.contains("stored", F.lit("_token_usage")).alias("stored_usage"),
+    )
 
 
 # --- records ----------------------------------------------------------------

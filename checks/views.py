@@ -105,6 +105,10 @@ def dispatch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         labelled("Incident Type: ", F.lit("MEDICAL"), 13),
         F.concat(F.lit("Dispatch Time\n"), clock),
         labelled("Location: ", place, 19),
+        F.when(
+            user % 5 == 0,
+            F.concat(F.lit("Arrived At Patient: 01/"), day, F.lit("/2024 07:08:09")),
+        ),
         F.lit("Unit ID Date / Time Status Dispatcher"),
     )
     text = F.concat(header, F.lit("\n"), F.array_join(F.col("lines.line"), "\n"))
@@ -149,7 +153,7 @@ def as_record_fields(orders: DataFrame) -> DataFrame:
         F.col("o_orderdate").alias("ordered"),
         F.when(every(k, 11), null_text())
         .when(every(k, 13), F.concat(F.lit("X"), key_text))
-        .when(every(k, 5), F.concat(F.lit(" "), key_text, F.lit(" ")))
+        .when(every(k, 5), F.concat(F.lit(" "), key_text, F.lit("\u3000")))
         .otherwise(key_text)
         .alias("cad"),
         F.when(every(k, 7), null_text())

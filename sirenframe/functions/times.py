@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sirenframe.functions.text import WHITE_SPACE
 from sirenframe.schemas import DERIVED_TIMES, NIGHT_END_HOUR, NIGHT_START_HOUR
 
 DATE_FORMAT = "MM/dd/yyyy"
@@ -20,7 +21,7 @@ TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # one-digit day may have a leading blank. The form allows year 0 and seconds 60
 # and 61, which are no clock readings.
 _DATE = r"^(1[0-2]|0[1-9]|[1-9])/(?: (?=[1-9]/))?(3[01]|[12][0-9]|0[1-9]|[1-9])/"
-_TIME = r"\s+(2[0-3]|[01][0-9]|[0-9]):([0-5][0-9]|[0-9]):"
+_TIME = rf"[{WHITE_SPACE}]+" + r"(2[0-3]|[01][0-9]|[0-9]):([0-5][0-9]|[0-9]):"
 _FORM = _DATE + r"([0-9]{4})" + _TIME + r"(6[01]|[0-5][0-9]|[0-9])"
 _READING = _DATE + r"((?!0000)[0-9]{4})" + _TIME + r"([0-5][0-9]|[0-9])$"
 

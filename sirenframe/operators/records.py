@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.functions import bound_text, datetime_problem, parse_datetime_text
+from sirenframe.functions.text import WHITE_SPACE
 from sirenframe.operators.barrier import computed_once
 from sirenframe.operators.variants import kind
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_TYPE_MAX_CHARS, LOCATION_MAX_CHARS
@@ -23,7 +24,7 @@ NO_CAD = "'incidentTimes.cad'"
 NO_NOTIFIED = "'incidentTimes.times.notifiedByDispatch'"
 NO_DATE_OR_TIME = "'notifiedByDispatch.date or notifiedByDispatch.time'"
 
-_INTEGER = r"^\s*([+-]?[0-9]+(?:_[0-9]+)*)\s*$"
+_INTEGER = rf"^[{WHITE_SPACE}]*([+-]?[0-9]+(?:_[0-9]+)*)[{WHITE_SPACE}]*$"
 
 
 def resolve_unit_id(unit_dispatched: Column, given: Column | None = None) -> Column:
@@ -68,8 +69,11 @@ _RAW = f"{_PLACE}.raw"
 
 
 def _value(path: str, data_type: str = "variant") -> Column:
-    """Value at a path: SQL NULL where it is missing, a variant null where it is null."""
-    return F.try_variant_get(F.try_parse_json("content"), path, data_type)
+    """Value at a path: SQL NULL where it is missing, a variant null where it is null.
+
+    `_json` is read once, and only for rows that are not plain.
+    """
+    return F.try_variant_get(F.col("_json"), path, data_type)
 
 
 def _wrong_shape(shape: Column, path: str) -> Column:
@@ -123,28 +127,28 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
         {"_digits": integer_text(cad), "_clock": F.concat(date, F.lit(" "), time)}
     )
     digits, clock = F.col("_digits"), F.col("_clock")
-    # A JSON number or boolean is an integer too, though its text may be none.
-    maybe_number = F.rlike(cad, F.lit("^(-?[0-9]|true$|false$)"))
-    from_number = F.when(maybe_number & (kind(_value(_CAD)) != "str"), _value(_CAD, "bigint"))
-    parsed = read.withColumns(
-        {
-            "_number": F.when(digits != "", digits.try_cast("bigint")).otherwise(from_number),
-            "_at": parse_datetime_text(clock),
-        }
+    clocked = read.withColumns(
+        {"_whole": digits.try_cast("bigint"), "_at": parse_datetime_text(clock)}
     )
-    number, at = F.col("_number"), F.col("_at")
-
+    whole, at = F.col("_whole"), F.col("_at")
     given = F.lit(None).cast("string") if given_unit is None else F.col(given_unit)
     # Rows without any defect are told by cheap tests and never get to the chain.
     plain = (
         at.isNotNull()
-        & number.isNotNull()
+        & whole.isNotNull()
         & (unit != "")
         & ~unit.isin(*_EMPTY)
         & place.isNotNull()
         & ~_like_number(raw)
         & ~_like_number(incident_type)
     )
+    plain = F.coalesce(plain, F.lit(False))
+    opened = clocked.withColumn("_json", F.when(~plain, F.try_parse_json("content")))
+    # A JSON number or boolean is an integer too, though its text may be none.
+    maybe_number = F.rlike(cad, F.lit("^(-?[0-9]|true$|false$)"))
+    from_number = F.when(maybe_number & (kind(_value(_CAD)) != "str"), _value(_CAD, "bigint"))
+    parsed = opened.withColumn("_number", F.when(digits != "", whole).otherwise(from_number))
+    number = F.col("_number")
     not_an_integer = (digits == "") & ~(
         maybe_number & kind(_value(_CAD)).isin("int", "float", "bool")
     )
@@ -196,9 +200,10 @@ def validate_record(records: DataFrame, given_unit: str | None = None) -> DataFr
         "incident_date": at,
         "location": bound_text(raw, LOCATION_MAX_CHARS),
         "incident_type": bound_text(incident_type, INCIDENT_TYPE_MAX_CHARS),
-        "error": F.when(F.coalesce(plain, F.lit(False)), F.lit(None)).otherwise(first_failure),
+        "error": F.when(plain, F.lit(None)).otherwise(first_failure),
     }
-    return computed_once(parsed, result).drop("_shape", "_digits", "_clock", "_number", "_at")
+    helpers = ("_shape", "_digits", "_clock", "_whole", "_at", "_json", "_number")
+    return computed_once(parsed, result).drop(*helpers)
 
 
 def outcome_rows(validated: DataFrame, error_prefix: str = "") -> DataFrame:

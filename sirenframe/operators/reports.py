@@ -16,11 +16,17 @@ NOT_AVAILABLE = "N/A"
 def incident_timeline(incidents: DataFrame, keys: list[str]) -> DataFrame:
     """One row per time of a record, in record order: keys, ordinal, event, date, time.
 
-    Entries that are no objects are left out; a missing date or time is ''.
+    Entries that are no objects are left out; a missing date or time is ''. Of a
+    key given twice the last value counts, at the place of the first.
     """
-    times = F.from_json("content", _TIMES)["incidentTimes"]["times"]
+    times = F.map_entries(F.from_json("content", _TIMES)["incidentTimes"]["times"])
+    once = F.transform(
+        F.array_distinct(F.transform(times, lambda e: e["key"])),
+        lambda key: F.element_at(F.filter(times, lambda e: e["key"] == key), -1),
+    )
     return (
-        incidents.select(*keys, F.posexplode(times).alias("ordinal", "event", "value"))
+        incidents.select(*keys, F.posexplode(once).alias("ordinal", "_entry"))
+        .select(*keys, "ordinal", F.col("_entry.key").alias("event"), F.col("_entry.value").alias("value"))
         .filter(kind(F.col("value")) == "dict")
         .select(
             *keys,

@@ -101,6 +101,13 @@ def attach_token_usage(content: Column, usage: Column) -> Column:
     ).otherwise(content)
 
 
+def drop_token_usage(content: Column) -> Column:
+    """Record JSON without the key `_token_usage`; other records as they stand."""
+    members = F.from_json(content, "map<string, variant>")
+    rest = F.map_filter(members, lambda key, _: key != "_token_usage")
+    return F.when(F.contains(content, F.lit('"_token_usage"')), F.to_json(rest)).otherwise(content)
+
+
 def token_usage(responses: DataFrame) -> DataFrame:
     """The three counters of each response as columns."""
     return responses.select("doc_id", "token_usage.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.operators.records import SAVE_FAILED, validate_record
-from sirenframe.operators.responses import flag_errors, parse_response
+from sirenframe.operators.responses import drop_token_usage, flag_errors, parse_response
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_PAYLOAD
 
 # Columns of a prepared row, besides those the caller carries along.
@@ -18,11 +18,12 @@ def prepare_responses(
 ) -> DataFrame:
     """Clean, parse, route and validate responses: all in one narrow stage.
 
-    Each input row becomes one row: `carry` columns, `success`, the columns of
+    Token counters in a response are not stored. Each input row becomes one row: `carry` columns, `success`, the columns of
     the incident table, and `error` (a parse error as it is, a failed record
     check with the save prefix).
     """
     flagged = flag_errors(parse_response(responses)).withColumnRenamed("error", "parse_error")
+    flagged = flagged.withColumn("content", drop_token_usage(F.col("content")))
     checked = validate_record(flagged, given_unit)
     error = F.coalesce("parse_error", F.concat(F.lit(SAVE_FAILED), F.col("error")))
     return checked.withColumn("error", error).select(

@@ -190,5 +190,7 @@ def test_timeline_and_summary(spark):
     df = spark.createDataFrame([(1, content), (2, "{}")], "k int, content string")
     assert rows(reports.incident_timeline(df, ["k"])) == [
         (1, 0, "onScene", "1/1/2025", "10:00:00"), (1, 3, "enRoute", "1/1/2025", "")]
+    twice = spark.createDataFrame([(1, '{"incidentTimes":{"times":{"a":{"date":"1"},"b":{"date":"2"},"a":{"date":"3"}}}}')], "k int, content string")
+    assert rows(reports.incident_timeline(twice, ["k"])) == [(1, 0, "a", "3", ""), (1, 1, "b", "2", "")]
     assert rows(reports.incident_summary(df, ["k"]), "k") == [
         (1, "N/A", "N/A", None, None, None, "2"), (2, "N/A", "N/A", None, None, None, None)]

@@ -160,6 +160,11 @@ def test_token_usage_is_attached_last(spark):
     texts = [x[0] for x in df.select(m.attach_token_usage(F.col("content"), F.col("usage"))).collect()]
     usage = {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3}
     assert [json.loads(t) for t in texts] == [{"a": 1, "_token_usage": usage}, {"_token_usage": usage}, {}]
+    back = df.select(m.drop_token_usage(m.attach_token_usage(F.col("content"), F.col("usage"))))
+    assert [json.loads(r[0]) for r in back.collect()] == [{"a": 1}, {}, {}]
+    kept = spark.createDataFrame([('{"b" : [1, {"c":null}] }',), ('{"_token_usage":{},"b":[1,{"c":"é"}]}',)], "t string")
+    texts = [r[0] for r in kept.select(m.drop_token_usage(F.col("t"))).collect()]
+    assert texts[0] == '{"b" : [1, {"c":null}] }' and json.loads(texts[1]) == {"b": [1, {"c": "é"}]}
 
 
 def test_good_and_bad_make_up_the_input(spark):
