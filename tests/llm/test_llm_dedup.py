@@ -24,7 +24,7 @@ DOCS = [
     (6, LONG, "x", 9, 1),
     (7, LONG + "\n", "x", 9, 1),
     (8, LONG + "!", "x", 9, 1),
-    (9, " ", "x", 9, 1),
+    (9, "\u00a0", "x", 9, 1),
     (1, "a b c", "x", 9, 1),
     (None, "abc", "x", 9, 1),
     (None, "lonely", "x", 9, 1),
@@ -72,7 +72,7 @@ def test_keep_first_keeps_columns_and_one_row_per_group(spark):
     kept = keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
-        ["1", "5", "7", "8", "None", "10"]
+        ["1", "5", "7", "8", "9", "None", "10"]
     )
 
 
