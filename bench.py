@@ -27,6 +27,7 @@ HEADLINE = (
     "ingest_pipeline",
     "message_parts",
     "take_until_stop",
+    "poll_round",
     "poll_stats",
     "anti_join_processed",
     "dedupe_filenames",
