@@ -55,15 +55,15 @@ def exact_dedup(
     that unique whole number; else rows are numbered here.
     """
     row_no = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
-    keyed = staged(
-        docs.select(
-            row_no.alias("row_no"),
-            F.col(id_col).alias("doc_id"),
-            F.length(text_of(F.col(text_col))).alias("n_chars"),
-            normalised(F.col(text_col)).alias("body"),
-        ),
-        "texts",
+    keyed = docs.select(
+        row_no.alias("row_no"),
+        F.col(id_col).alias("doc_id"),
+        F.length(text_of(F.col(text_col))).alias("n_chars"),
+        normalised(F.col(text_col)).alias("body"),
     )
+    if row_col is None:
+        # The numbers are made once. Of a written table no second copy is kept.
+        keyed = staged(keyed, "texts")
     identity = _identities(keyed, block_chars, block_hash)
     meta = keyed.select("row_no", "doc_id", "n_chars", F.sha2("body", 256).alias("text_sha256"))
     members = staged(meta.join(identity, "row_no"), "members")
