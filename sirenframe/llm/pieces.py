@@ -28,7 +28,7 @@ from sirenframe.llm.common import text_of
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE_PARTS = 300_000
+CACHE_PARTS = 500_000
 
 
 @dataclass
