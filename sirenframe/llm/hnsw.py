@@ -7,8 +7,10 @@ graph is stored as flat neighbour arrays in one file per shard. Every query goes
 every shard, in blocks; the best of each shard are merged.
 
 Largest inner product becomes nearest neighbour by one more dimension that gives all
-vectors of a shard the same norm; queries have 0 there, so their order is unchanged.
-Equal vectors of a shard are one node with a list of IDs, so copies cannot crowd out
+vectors of a graph the same norm; queries have 0 there, so their order is unchanged.
+A shard has one graph per class of norms that differ by less than a factor of 2, so a
+few long vectors cannot press the others onto one point; classes whose norms are too
+small for a better score are passed over. Equal vectors of a shard are one node with a list of IDs, so copies cannot crowd out
 the graph.
 """
 
@@ -199,8 +201,27 @@ def _link_back(vectors: np.ndarray, neighbours: np.ndarray, block: np.ndarray, c
         neighbours[rows] = diverse(vectors, both, scores, width)
 
 
+def log_norms(vectors: np.ndarray) -> np.ndarray:
+    """Logarithms (base 2) of the norms; squares of huge or tiny numbers are not formed."""
+    largest = np.abs(vectors).max(axis=1, initial=0)
+    return np.log2(largest) + np.log2(np.linalg.norm(vectors / largest[:, None], axis=1))
+
+
+def norm_classes(vectors: np.ndarray) -> list[np.ndarray]:
+    """Positions by norm, longest class first; each class begins at its longest and ends at half of it."""
+    logs = log_norms(vectors)
+    order = np.argsort(-logs, kind="stable")
+    out, begin = [], 0
+    while begin < len(order):
+        end = int(np.searchsorted(-logs[order], 1 - logs[order[begin]], side="left"))
+        out.append(np.sort(order[begin:end]))
+        begin = end
+    return out
+
+
 def one_norm(vectors: np.ndarray) -> np.ndarray:
     """Vectors scaled by the largest norm, with one more dimension that fills each up to norm 1."""
+    vectors = vectors / (np.abs(vectors).max(initial=0) or 1.0)
     squares = np.einsum("nd,nd->n", vectors, vectors)
     top = squares.max(initial=0) or 1.0
     rest = np.sqrt(np.maximum(0, 1 - squares / top))
@@ -237,15 +258,17 @@ def write_index(rows: DataFrame, folder: str, shard_rows: int = SHARD_ROWS) -> t
         vectors = np.stack(group["vec"].to_numpy()).astype(np.float64)
         nodes, node_of = np.unique(vectors, axis=0, return_inverse=True)
         members = np.argsort(node_of.ravel(), kind="stable")
-        graph = build(one_norm(nodes))
         out = {
             "vectors": nodes,
             "starts": np.searchsorted(node_of.ravel()[members], np.arange(len(nodes) + 1)),
             "vec_ids": group["vec_id"].to_numpy(np.int64)[members],
             "rows": group["row_no"].to_numpy(np.int64)[members],
         }
-        for i, (layer, links) in enumerate(zip(graph.nodes, graph.neighbours)):
-            out[f"nodes{i}"], out[f"neighbours{i}"] = layer, links
+        for c, own in enumerate(norm_classes(nodes)):
+            graph = build(one_norm(nodes[own]))
+            out[f"class{c}"] = own
+            for i, (layer, links) in enumerate(zip(graph.nodes, graph.neighbours)):
+                out[f"nodes{c}_{i}"], out[f"neighbours{c}_{i}"] = layer, links
         packed = io.BytesIO()
         np.savez(packed, **out)
         files, base = pafs.FileSystem.from_uri(folder)
@@ -269,34 +292,56 @@ class Shard:
             stored = np.load(io.BytesIO(stream.read()))
         self.vectors, self.starts = stored["vectors"], stored["starts"]
         self.vec_ids, self.rows = stored["vec_ids"], stored["rows"]
-        layers = sum(key.startswith("nodes") for key in stored.files)
-        self.graph = Graph(
-            one_norm(self.vectors),
-            [stored[f"nodes{i}"] for i in range(layers)],
-            [stored[f"neighbours{i}"] for i in range(layers)],
-        )
+        self.graphs = []
+        for c in range(sum(key.startswith("class") for key in stored.files)):
+            own = stored[f"class{c}"]
+            layers = sum(key.startswith(f"nodes{c}_") for key in stored.files)
+            graph = Graph(
+                one_norm(self.vectors[own]),
+                [stored[f"nodes{c}_{i}"] for i in range(layers)],
+                [stored[f"neighbours{c}_{i}"] for i in range(layers)],
+            )
+            self.graphs.append((own, log_norms(self.vectors[own]).max(), graph))
 
     def nearest(self, queries: np.ndarray, own_rows: np.ndarray, k: int, beam: int) -> list[list[tuple[float, int]]]:
         """Per query the k best (score, vec_id), without the row of the query itself."""
-        padded = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
         # Searched at one length: scores of huge vectors must not overflow.
-        padded /= np.linalg.norm(padded, axis=1, keepdims=True)
-        beam = min(max(beam, k + 1), len(self.vectors))
-        found, _ = self.graph.search(padded.astype(np.float32), beam)
-        out = []
-        for query, own_row, nodes in zip(queries, own_rows, found):
-            nodes = nodes[nodes >= 0]
-            hits = []
-            for node, score in zip(nodes, self.vectors[nodes] @ query):
-                # IDs of a node ascend, so no more than k + 1 of them can count.
-                span = slice(self.starts[node], min(self.starts[node + 1], self.starts[node] + k + 1))
-                hits += [
-                    (-float(score), int(i))
-                    for i, row in zip(self.vec_ids[span], self.rows[span])
-                    if row != own_row
-                ]
-            out.append([(-s, i) for s, i in sorted(hits)[:k]])
-        return out
+        unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        padded = np.concatenate([unit, np.zeros((len(unit), 1))], axis=1).astype(np.float32)
+        lengths = log_norms(queries)
+        hits: list[list[tuple[float, int]]] = [[] for _ in queries]
+        for own, longest, graph in self.graphs:
+            # No score exceeds the product of the norms.
+            with np.errstate(over="ignore"):
+                most = np.exp2(lengths + longest) * (1 + 1e-9)
+            asked = np.flatnonzero([len(h) < k or -h[-1][0] <= m for h, m in zip(hits, most)])
+            if not len(asked):
+                continue
+            found, _ = graph.search(padded[asked], min(max(beam, k + 1), len(own)))
+            for at, places in zip(asked, found):
+                nodes = own[places[places >= 0]]
+                for node, score in zip(nodes, _products(self.vectors[nodes], queries[at])):
+                    # IDs of a node ascend, so no more than k + 1 of them can count.
+                    span = slice(self.starts[node], min(self.starts[node + 1], self.starts[node] + k + 1))
+                    hits[at] += [
+                        (-float(score), int(i))
+                        for i, row in zip(self.vec_ids[span], self.rows[span])
+                        if row != own_rows[at]
+                    ]
+                hits[at] = sorted(hits[at])[:k]
+        return [[(-s, i) for s, i in h] for h in hits]
+
+
+def _products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; beyond the range of doubles they are infinite, never NaN."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = vectors @ query
+        wrong = ~np.isfinite(scores)
+        if wrong.any():
+            large, top = np.abs(vectors[wrong]).max(axis=1), np.abs(query).max()
+            scores[wrong] = (vectors[wrong] / large[:, None]) @ (query / top) * large * top
+    return scores
 
 
 _LAST: dict[str, Shard] = {}

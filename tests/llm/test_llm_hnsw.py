@@ -82,3 +82,39 @@ def test_same_graph_for_same_vectors():
     a, b = hnsw.build(x), hnsw.build(x)
     assert all((p == q).all() for p, q in zip(a.neighbours, b.neighbours))
     assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-5)
+
+@pytest.mark.parametrize("longer", [1e3, 1e6, 1e200])
+def test_a_few_long_vectors_do_not_cost_the_others_their_recall(longer):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:3] *= longer
+    classes = hnsw.norm_classes(x)
+    assert sorted(np.concatenate(classes)) == list(range(3000))
+    shard = object.__new__(hnsw.Shard)
+    shard.vectors, shard.starts = x, np.arange(3001)
+    shard.vec_ids = shard.rows = np.arange(3000)
+    shard.graphs = [
+        (own, hnsw.log_norms(x[own]).max(), hnsw.build(hnsw.one_norm(x[own]))) for own in classes
+    ]
+    asked = np.arange(0, 3000, 20)
+    got = shard.nearest(x[asked], asked, 20, hnsw.SEARCH_BEAM)
+    hits = 0
+    for q, found in zip(asked, got):
+        scores = hnsw._products(x, x[q])
+        scores[q] = -np.inf
+        hits += len({i for _, i in found} & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    assert hits / (20 * len(asked)) >= 0.95
+
+
+def test_stored_shards_of_mixed_norms(spark):
+    x = _vectors(600, 16, 5).astype(np.float64)
+    x[::100] *= 1e5
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    frame = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.nearest_neighbours(frame).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = _brute(rows, 20, 20)
+    hits = sum(len(found[q] & {w[0] for w in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.99
