@@ -91,7 +91,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup.substring_dedup(docs)
+    return substring_dedup.substring_dedup(docs, both_ends=True)
 
 
 @query

@@ -3,7 +3,8 @@
 A text is cut into sentences (at clause marks too, so that a passage set into a host
 sentence loses little), and from every sentence on the shortest run of consecutive
 sentences with enough characters is hashed; one more run reaches to the end of the
-text. All runs meet in one global grouping by hash. A run that is not the first with
+text. With both_ends the shortest run up to every sentence is hashed too, so a repeated
+passage inside a text goes with its last sentences. All runs meet in one global grouping by hash. A run that is not the first with
 its hash is repeated, and the sentences it covers go.
 
 Repeats inside one block of documents are settled in the task that reads it, so a
@@ -45,11 +46,12 @@ def sentences(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(text: str, span_chars: int = SPAN_CHARS) -> list[tuple[int, int, int]]:
+def runs(text: str, span_chars: int = SPAN_CHARS, both_ends: bool = False) -> list[tuple[int, int, int]]:
     """(hash, first, last) of every run of sentences that is hashed, hash of 128 bits.
 
     Blanks do not count, and any white space inside a sentence equals one blank. A text
-    with fewer characters than span_chars has no run.
+    with fewer characters than span_chars has no run. The shortest run from every sentence
+    on and the one at the end of the text; with both_ends the shortest up to every sentence.
     """
     units = ["".join(text[b:e]) for b, e, _ in sentences(text)]
     units = [" ".join(u.split()) for u in units]
@@ -64,7 +66,17 @@ def runs(text: str, span_chars: int = SPAN_CHARS) -> list[tuple[int, int, int]]:
             break
         out.append((first, last))
         size -= sizes[first]
-    if out and out[-1][1] < n - 1:
+    if both_ends:
+        ending, first, size = set(), 0, 0
+        for last in range(n):
+            size += sizes[last]
+            while size - sizes[first] >= span_chars:
+                size -= sizes[first]
+                first += 1
+            if size >= span_chars:
+                ending.add((first, last))
+        out = sorted(ending.union(out))
+    elif out and out[-1][1] < n - 1:
         first, size = n, 0
         while size < span_chars:
             first -= 1
@@ -99,7 +111,11 @@ def without(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def substring_dedup(
-    docs: DataFrame, text_col: str = "text", span_chars: int = SPAN_CHARS, block_runs: int = BLOCK_RUNS
+    docs: DataFrame,
+    text_col: str = "text",
+    span_chars: int = SPAN_CHARS,
+    block_runs: int = BLOCK_RUNS,
+    both_ends: bool = False,
 ) -> DataFrame:
     """docs with the text cleaned, and n_sentences_removed added under a free name.
 
@@ -122,7 +138,7 @@ def substring_dedup(
                 if len(seen) > block_runs:
                     seen.clear()
                 repeated = []
-                for value, first, last in runs(body, span_chars):
+                for value, first, last in runs(body, span_chars, both_ends):
                     if value in seen:
                         repeated.append((first, last))
                     else:
@@ -161,7 +177,7 @@ def substring_dedup(
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with cleaned texts and the same columns; n_chars, if there, fits the new text."""
-    out = substring_dedup(docs, text_col)
+    out = substring_dedup(docs, text_col, both_ends=True)
     out = out.select(*(f"`{c}`" for c in docs.columns))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

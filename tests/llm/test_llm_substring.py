@@ -93,3 +93,25 @@ def test_sentences_cover_the_text():
         places = sub.sentences(text)
         assert "".join(text[b:n] for b, _, n in places) == text[places[0][0] if places else 0 :]
         assert sub.without(text, [])[0] == text
+
+
+@pytest.mark.parametrize("sizes", [(130, 40), (80, 60, 20), (30, 150, 10, 10, 10)])
+def test_a_passage_inside_a_text_goes_to_its_last_sentence(spark, sizes):
+    units = ["".join(random.Random(f"{i}{s}").choices("abcdefgh", k=s - 1)) + "." for i, s in enumerate(sizes)]
+    passage = " ".join(units)
+    docs = [(i, f"Begin {i}. {passage} Middle words of {i}, and more {i}.", 1) for i in range(12)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, n_chars long").repartition(3)
+    got = sorted(r.text for r in sub.clean(frame).collect())
+    own = [f"Begin {i}. Middle words of {i}, and more {i}." for i in range(12)]
+    assert sum(t in own for t in got) == 11
+    assert sum(passage in t for t in got) == 1
+
+
+def test_both_ends_hold_every_shortest_run():
+    for text in [t for t in _texts(5) if t]:
+        units = [" ".join(text[b:e].split()) for b, e, _ in sub.sentences(text)]
+        size = [len(u.replace(" ", "")) for u in units]
+        fit = {(i, j) for i in range(len(units)) for j in range(i, len(units)) if sum(size[i : j + 1]) >= 40}
+        want = {(i, min(j for a, j in fit if a == i)) for i in {a for a, _ in fit}}
+        want |= {(max(i for i, b in fit if b == j), j) for j in {b for _, b in fit}}
+        assert sorted((a, b) for _, a, b in sub.runs(text, 40, both_ends=True)) == sorted(want)
