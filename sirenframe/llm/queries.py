@@ -12,7 +12,10 @@ from sirenframe.llm import (
     chat,
     hnsw,
     html_text,
+    lexical_search,
+    mixing,
     packing,
+    phrases,
     pieces,
     simhash,
     substring_dedup,
@@ -105,3 +108,24 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     return pieces.digests(pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs)
