@@ -73,25 +73,27 @@ def test_daypart(spark, start, end, night_hours):
     assert {h for h, part in rows(got) if part == "night"} == night_hours
 
 
-# Shapes: name and unit; plain; name; & inside a name; other suffix; crossing.
+# Made from the grammar: territory, then a name before the first slash, then an address up to the first
+# number sign; without a slash an ampersand makes all of the rest the address.
 LOCATIONS = [
-    (
-        "RIVERTON TWP OAKVIEW II / 459 ELM DR #606",
-        ("RIVERTON TWP", "OAKVIEW II", "459 ELM DR", "606"),
-    ),
-    ("RIVERTON TWP 1181 LAKE DR", ("RIVERTON TWP", None, "1181 LAKE DR", None)),
-    ("RIVERTON TWP HILL SCHOOL / 1300 HILL RD", ("RIVERTON TWP", "HILL SCHOOL", "1300 HILL RD", None)),
-    (
-        "RIVERTON TWP LODGE & SUITES / 12 U S HWY NO 9",
-        ("RIVERTON TWP", "LODGE & SUITES", "12 U S HWY NO 9", None),
-    ),
-    ("EASTON BORO 719 MILL AVE", ("EASTON BORO", None, "719 MILL AVE", None)),
-    ("RIVERTON TWP PINE DR & LARK LN", ("RIVERTON TWP", None, "PINE DR & LARK LN", None)),
-    ("RIVERTON TWP PINE DR & LARK LN #4", ("RIVERTON TWP", None, "PINE DR & LARK LN #4", None)),
-    ("EASTON 7 MILL AVE #2B", ("EASTON", None, "7 MILL AVE", "2B")),
-    ("EASTON TWPLINE RD", ("EASTON", None, "TWPLINE RD", None)),
-    ("EASTON", ("EASTON", None, None, None)),
-    ("  ", (None, None, None, None)),
+    # territory: one word, or two where the second is a suffix
+    ("NORTHFIELD", ("NORTHFIELD", None, None, None)),
+    ("NORTHFIELD BORO", ("NORTHFIELD BORO", None, None, None)),
+    ("NORTHFIELD TWPLINE RD", ("NORTHFIELD", None, "TWPLINE RD", None)),
+    ("BORO 8 CANAL ST", ("BORO", None, "8 CANAL ST", None)),
+    # address alone, with and without a unit
+    ("HARBOR 3 QUAY", ("HARBOR", None, "3 QUAY", None)),
+    ("HARBOR BORO 3 QUAY #B", ("HARBOR BORO", None, "3 QUAY", "B")),
+    ("HARBOR TWP #9", ("HARBOR TWP", None, None, "9")),
+    # a name before a slash
+    ("HARBOR FERRY HOUSE / QUAY 3", ("HARBOR", "FERRY HOUSE", "QUAY 3", None)),
+    ("HARBOR TWP FERRY & SONS / QUAY 3 #1-A", ("HARBOR TWP", "FERRY & SONS", "QUAY 3", "1-A")),
+    ("HARBOR BORO DEPOT / 5 RAIL ST / REAR", ("HARBOR BORO", "DEPOT", "5 RAIL ST / REAR", None)),
+    # crossings
+    ("HARBOR RAIL ST & QUAY", ("HARBOR", None, "RAIL ST & QUAY", None)),
+    ("HARBOR TWP RAIL ST & QUAY #4", ("HARBOR TWP", None, "RAIL ST & QUAY #4", None)),
+    # nothing
+    ("\t ", (None, None, None, None)),
 ]
 
 
