@@ -381,9 +381,12 @@ ORACLE: dict[str, str] = {
       FROM checked WHERE error IS NULL
       QUALIFY row_number() OVER (PARTITION BY customer, unit
         ORDER BY ordered DESC, k::VARCHAR DESC) = 1""",
-    "prepared_records": f"""WITH {RESPONSES}
+    "prepared_records": f"""WITH {RESPONSES}, {ERRORS}
       SELECT FALSE AS success, coalesce(error, 'Database save failed: Missing required field in PCR JSON: ''incidentTimes.unit_dispatched not found and unit_id not provided''') AS error,
-        count(*) AS n FROM responses GROUP BY 1, 2""",
+        NULL AS incident_type, count(*) AS n, NULL::BIGINT AS numbers FROM responses GROUP BY 1, 2
+      UNION ALL
+      SELECT error IS NULL, 'Database save failed: ' || error, left(type, 20), count(*),
+        sum(try_cast(trim(cad, ' ' || chr(12288)) AS BIGINT))::BIGINT FROM checked GROUP BY 1, 2, 3""",
 }
 
 # Incident JSON of the dispatch pages, key by key; null parts are left out.
@@ -457,3 +460,42 @@ ORACLE["build_incident_json"] = f"""WITH {DERIVED}, {HEADERS.split(ACTIVITY + ",
       _member("parsingErrors", "('[' || nullif(problems, '') || ']')"),
   ])} AS content
   FROM pieces"""
+
+ORACLE["upsert_partitions"] = ORACLE["upsert_incidents"]
+ORACLE["anti_join_filtered"] = ORACLE["anti_join_processed"]
+ORACLE["seen_set_generations"] = ORACLE["load_processed_ids"]
+
+ORACLE["stream_dedup_seeded"] = """SELECT DISTINCT user_id || '-' || event_type AS message_id
+  FROM events WHERE user_id % 5 <> 0"""
+
+# Files by document number; a text takes its bytes and a line feed.
+ORACLE["ingest_documents"] = """WITH texts AS (
+    SELECT coalesce(doc_id, 0) AS doc_id, coalesce(text, '') AS text FROM documents),
+  filed AS (SELECT *, doc_id % (SELECT greatest(1, ceil(sum(strlen(text)) / 262144.0))::BIGINT FROM texts) AS file
+    FROM texts),
+  sizes AS (SELECT file, sum(strlen(text) + 1) AS bytes FROM filed GROUP BY file)
+  SELECT 'read' AS kind, line, count(*) AS n
+  FROM (SELECT unnest(string_split(text, chr(10))) AS line
+    FROM filed JOIN sizes USING (file) WHERE bytes <= 262144) GROUP BY line
+  UNION ALL SELECT 'too long', NULL, count(*) FROM sizes WHERE bytes > 262144"""
+
+# Messages are reached as in one round, as mailboxes do not share IDs; only the first holder of the
+# first round keeps the plain name.
+ORACLE["mail_rounds"] = f"""WITH {_reached("reference", "'report the '", "seq % 29 = 0 OR seq % 37 = 0")},
+  rounds AS (SELECT *, ('0x' || substr(md5(mailbox), 1, 1))::INT % 2 AS round_no FROM reached),
+  saved AS (SELECT mailbox, seq, 1 AS part_no, 'fax.pdf' AS filename, subject, round_no
+    FROM rounds WHERE length(subject) > 0 AND (processed OR (seq % 29 = 0 AND seq % 37 <> 0
+      AND message_id <> '' AND copy = 1 AND NOT in_state))),
+  named AS (SELECT *, CASE WHEN round_no = 0 THEN row_number() OVER (PARTITION BY round_no ORDER BY mailbox, seq DESC)
+    ELSE 2 END AS number FROM saved)
+  SELECT {_UNIQUE} AS filename, md5(subject) AS payload_md5, strlen(subject)::BIGINT AS length, round_no FROM named"""
+
+# Which pages came follows from the document number; a document with all of them is stored if it has a
+# number and its clock exists.
+ORACLE["ingest_pages"] = f"""WITH built AS ({ORACLE["build_incident_json"]}), {ACTIVITY},
+  counts AS (SELECT doc_id, count(*) FILTER (pos // 1000 % 2 = 1) AS odd, count(*) FILTER (pos // 1000 % 2 = 0) AS even
+    FROM activity GROUP BY doc_id),
+  known AS (SELECT *, (doc_id // 100) % 11 <> 0 AND (doc_id // 100) % 17 <> 0 AS good FROM built JOIN counts USING (doc_id))
+  SELECT doc_id, CASE WHEN good THEN 'stored' ELSE 'rejected' END AS kind, CASE WHEN good THEN content END AS content
+  FROM known WHERE doc_id % 21 <> 0 OR odd = 0 OR doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'incomplete', NULL FROM known WHERE doc_id % 21 = 0 AND odd > 0 AND even > 0"""

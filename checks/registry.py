@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks import views as v
@@ -16,13 +17,21 @@ from sirenframe.plans.extraction import extract_fields, extract_incidents
 from sirenframe.plans.ingest import prepare_responses
 from sirenframe.plans.poll import poll_round as run_round
 from sirenframe.schemas import INCIDENT_TYPE_MAX_CHARS, LOCATION_MAX_CHARS, TIME_FIELDS
+from sirenframe.session import written
 from sirenframe.sources import documents, messages, state
 from sirenframe.streaming import (
+    PartitionedTable,
     compact_incidents,
     dedup_messages,
     incident_table,
     ingest_responses,
+    ingested,
+    saved_attachments,
 )
+from sirenframe.streaming import ingest_documents as contained_documents
+from sirenframe.streaming import ingest_pages as stored_pages
+from sirenframe.streaming import mail_rounds as rounds
+from sirenframe.streaming.ingest import INCOMPLETE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,16 +49,22 @@ def _times_as_text(rows: DataFrame) -> DataFrame:
 # --- sources, sinks, state --------------------------------------------------
 
 
-TEXT_FILES = 12
-ORDER_FILES = 4
+# Bytes of text of one file, and orders of one file: files grow in number, not in size.
+TEXT_BYTES = 1 << 18
+ORDERS_PER_FILE = 50_000
 
 
 def _text_folder(spark: SparkSession, sf_dir: str) -> str:
-    """All document texts as a few text files."""
+    """All document texts as text files, by document number; each file in a folder of its own."""
     folder = shared_dir(spark, "texts")
-    texts = v.table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
-    texts.repartition(TEXT_FILES).write.text(folder)
-    return folder
+    d = v.table(spark, sf_dir, "documents").select(
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = -(-size // TEXT_BYTES) or 1
+    texts = d.select((F.col("doc_id") % files).alias("file"), "text")
+    texts.repartition(files, "file").write.partitionBy("file").text(folder)
+    return f"{folder}/file=*"
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -68,11 +83,24 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, folder = _text_folder(spark, sf_dir), shared_dir(spark, "documents")
-    stream = documents.stream_documents(spark, source, "*.txt", max_files_per_trigger=5)
+    stream = documents.stream_documents(spark, source, "*.txt")
     _run(_lines(stream), folder)
     return spark.read.parquet(f"{folder}/rows").groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, root = _text_folder(spark, sf_dir), shared_dir(spark, "documents")
+    contained_documents(
+        spark, source, root, f"{root}/checkpoint", "*.txt", max_bytes=TEXT_BYTES, availableNow=True
+    ).awaitTermination()
+    lines = _lines(spark.read.parquet(f"{root}/documents")).groupBy("line").agg(F.count("*").alias("n"))
+    bad = spark.read.parquet(f"{root}/quarantine").agg(F.count("*").alias("n"))
+    return lines.select(F.lit("read").alias("kind"), "line", "n").unionByName(
+        bad.select(F.lit("too long").alias("kind"), F.lit(None).cast("string").alias("line"), "n")
+    )
+
+
 def _run(stream: DataFrame, folder: str) -> None:
     (
         stream.writeStream.format("parquet")
@@ -122,15 +150,36 @@ def append_processed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.load_processed_ids(spark, path)
 
 
+@query
+def seen_set_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labelled IDs in rounds that overlap, a generation every few rounds."""
+    path = shared_dir(spark, "seen-set")
+    ids = v.labelled_ids(spark, sf_dir).withColumn("place", F.pmod(F.hash("message_id"), F.lit(6)))
+    for i in range(6):
+        state.append_processed_ids(spark, ids.filter(F.col("place").between(i - 1, i)), path, max_files=2)
+    return state.load_processed_ids(spark, path)
+
+
+def _incident_text(table: DataFrame) -> DataFrame:
+    return table.withColumns({c: fn.as_text(F.col(c)) for c in ("created_date", "incident_date")})
+
+
+@query
+def upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = v.incident_rows(spark, sf_dir)
+    table = PartitionedTable(spark, shared_dir(spark, "incidents"), rows.schema, parts=16)
+    table.merge(rows.filter(~F.col("second_batch")), ["place"], 0)
+    table.merge(rows.filter("second_batch"), ["place"], 1)
+    return _incident_text(table.read())
+
+
 @query
 def upsert_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.incident_rows(spark, sf_dir)
     first, second = rows.filter(~F.col("second_batch")), rows.filter("second_batch")
     none = rows.drop("place", "second_batch").limit(0)
     table = upsert(upsert(none, first, ["place"]), second, ["place"])
-    return table.withColumns(
-        {c: fn.as_text(F.col(c)) for c in ("created_date", "incident_date")}
-    )
+    return _incident_text(table)
 
 
 @query
@@ -171,6 +220,13 @@ def anti_join_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def anti_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.anti_join_processed(
+        _thin(v.messages(spark, sf_dir)), v.processed_ids(spark, sf_dir), filter_bytes=8 << 20
+    )
+
+
 def _reached(
     spark: SparkSession, sf_dir: str, seen: DataFrame, policy: str = "reference"
 ) -> DataFrame:
@@ -213,6 +269,37 @@ def poll_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def mail_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds, a half of the mailboxes each, over a growing export."""
+    folder, raw = shared_dir(spark, "mail"), v.raw_messages(spark, sf_dir)
+    export, root = f"{folder}/export", f"{folder}/root"
+    half = F.conv(F.substring(F.md5("mailbox"), 1, 1), 16, 10).cast("int") % 2
+    for i in range(2):
+        raw.filter(half == i).write.mode("append").parquet(export)
+        stream = spark.readStream.schema(raw.schema).parquet(export)
+        rounds(
+            stream, root, f"{folder}/checkpoint", v.SENDER, v.SUBJECT, v.processed_ids(spark, sf_dir),
+            at=v.BATCH_TIME, availableNow=True,
+        ).awaitTermination()
+    saved = saved_attachments(spark, root)
+    return saved.select(
+        F.substring_index("path", "/", -1).alias("filename"), F.md5("content").alias("payload_md5"), "length", "round_no"
+    )
+
+
+@query
+def stream_dedup_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = v.table(spark, sf_dir, "events")
+    folder = shared_dir(spark, "dedup")
+    message_id = F.concat_ws("-", "user_id", "event_type").alias("message_id")
+    state.append_processed_ids(spark, source.filter(v.every("user_id", 5)).select(message_id), f"{folder}/state")
+    stream = spark.readStream.schema(source.schema).parquet(v.stream_path(sf_dir, "events"))
+    seen = state.load_processed_ids(spark, f"{folder}/state")
+    _run(dedup_messages(stream.select(message_id), seen=seen), folder)
+    return spark.read.parquet(f"{folder}/rows")
+
+
 @query
 def stream_dedup_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = v.table(spark, sf_dir, "events")
@@ -511,23 +598,24 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = v.table(spark, sf_dir, "orders")
 
     def deliver(checkpoint: str) -> None:
-        """Everything in the inbox that the checkpoint does not know, a file per micro-batch."""
+        """Everything in the inbox that the checkpoint does not know, a quarter of the files per micro-batch."""
         stream = (
-            spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+            spark.readStream.schema(source.schema).option("maxFilesPerTrigger", -(-n // 4)).parquet(inbox)
         )
         texts = v.as_responses(v.as_record_fields(stream), "customer")
         created = F.lit("2025-01-02 03:04:05").cast("timestamp")
         ingest_responses(texts, log, checkpoint, created, availableNow=True).awaitTermination()
 
     # All orders of a customer are in one file, so the last one is the same in any file order.
-    files = source.repartition(ORDER_FILES, "o_custkey")
-    part = F.pmod(F.hash("o_custkey"), F.lit(ORDER_FILES))
-    files.filter(part < ORDER_FILES - 1).write.parquet(inbox)
+    n = max(4, -(-source.count() // ORDERS_PER_FILE))
+    files = source.repartition(n, "o_custkey")
+    late = F.pmod(F.hash("o_custkey"), F.lit(4)) == 3
+    files.filter(~late).write.parquet(inbox)
     deliver(f"{folder}/checkpoint")
     # A lost checkpoint: all batches so far come once more.
     deliver(f"{folder}/checkpoint-again")
     compact_incidents(spark, log, snapshots)
-    files.filter(part == ORDER_FILES - 1).coalesce(1).write.mode("append").parquet(inbox)
+    files.filter(late).write.mode("append").parquet(inbox)
     deliver(f"{folder}/checkpoint")
     table = incident_table(spark, log, snapshots)
     return table.select(
@@ -540,8 +628,44 @@ def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which pages come later, never, or once more, in three deliveries."""
+    folder = shared_dir(spark, "ingest")
+    log, inbox = f"{folder}/log", f"{folder}/inbox"
+    pages = v.dispatch_pages(spark, sf_dir)
+    n_pages = F.count("*").over(W.partitionBy("doc_id"))
+    pages = written(
+        pages.select(
+            F.col("doc_id").cast("string").alias("doc_id"),
+            F.lit("2025-01-02 03:04:05").cast("timestamp").alias("arrived_at"),
+            F.col("page_no").cast("long").alias("page_no"),
+            n_pages.cast("long").alias("n_pages"),
+            "text",
+        ),
+        "pages",
+    )
+    number, odd = F.col("doc_id").cast("long"), F.col("page_no") % 2 == 1
+    split, lost = number % 3 == 0, number % 21 == 0
+    for delivery in (~split | ~odd, split & odd & ~lost, number % 5 == 0):
+        pages.filter(delivery).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(pages.schema).parquet(inbox)
+        stored_pages(stream, log, f"{folder}/checkpoint", hold_seconds=0, availableNow=True).awaitTermination()
+    kind = F.when(F.col("success"), F.lit("stored")).otherwise(
+        F.when(F.startswith("error", F.lit(INCOMPLETE)), F.lit("incomplete")).otherwise(F.lit("rejected"))
+    )
+    return ingested(spark, log).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        kind.alias("kind"),
+        F.when(F.col("success"), F.col("content")).alias("content"),
+    ).distinct()
+
+
 @query
 def prepared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers without a record, and whole records, good ones too."""
     created = F.lit("2025-01-02 03:04:05").cast("timestamp")
-    rows = prepare_responses(v.responses(spark, sf_dir), created, ["doc_id"])
-    return rows.groupBy("success", "error").agg(F.count("*").alias("n"))
+    answers = v.responses(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "response_text")
+    whole = v.record_responses(spark, sf_dir).select("doc_id", "response_text")
+    rows = prepare_responses(answers.unionByName(whole), created, ["doc_id"])
+    return rows.groupBy("success", "error", "incident_type").agg(F.count("*").alias("n"), F.sum("incident_number").cast("long").alias("numbers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sirenframe.operators.variants import kind
@@ -20,12 +20,10 @@ def incident_timeline(incidents: DataFrame, keys: list[str]) -> DataFrame:
     key given twice the last value counts, at the place of the first.
     """
     times = F.map_entries(F.from_json("content", _TIMES)["incidentTimes"]["times"])
-    once = F.transform(
-        F.array_distinct(F.transform(times, lambda e: e["key"])),
-        lambda key: F.element_at(F.filter(times, lambda e: e["key"] == key), -1),
-    )
+    read = incidents.select(*keys, times.alias("_times"))
+    once = _last_of_each_key(F.col("_times"))
     return (
-        incidents.select(*keys, F.posexplode(once).alias("ordinal", "_entry"))
+        read.select(*keys, F.posexplode(once).alias("ordinal", "_entry"))
         .select(*keys, "ordinal", F.col("_entry.key").alias("event"), F.col("_entry.value").alias("value"))
         .filter(kind(F.col("value")) == "dict")
         .select(
@@ -38,6 +36,22 @@ def incident_timeline(incidents: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _last_of_each_key(entries: Column) -> Column:
+    """The last entry of each key, at the place of the key's first entry, for entries in any number.
+
+    Keys are sorted with their places, so copies of a key are neighbours: no entry is compared with all others.
+    """
+    places = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+
+    def ends(step: int) -> Column:
+        return F.filter(
+            places, lambda p, i: F.coalesce(F.get(places, i + step)["key"] != p["key"], F.lit(True))
+        )
+
+    pairs = F.zip_with(ends(-1), ends(1), lambda a, b: F.struct(a["at"].alias("first"), b["at"].alias("last")))
+    return F.transform(F.array_sort(pairs), lambda p: F.get(entries, p["last"]))
+
+
 def incident_summary(incidents: DataFrame, keys: list[str]) -> DataFrame:
     """Incident number and raw location, 'N/A' where absent, and the location parts, '' as null."""
     record = F.from_json("content", INCIDENT)

@@ -55,14 +55,25 @@ def _seen(processed_ids: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def anti_join_processed(messages: DataFrame, processed_ids: DataFrame) -> DataFrame:
+def anti_join_processed(
+    messages: DataFrame, processed_ids: DataFrame, filter_bytes: int | None = None
+) -> DataFrame:
     """Messages whose ID is not in the seen-set.
 
     The seen-set only grows, so it is not hinted: Spark broadcasts it while it
     is below the broadcast threshold and shuffles after that. An ID with very
     many copies is split by the adaptive skew join, which may split the left
     side of an anti join.
+
+    With `filter_bytes` a Bloom filter of the seen-set, no larger than that, is sent
+    to the tasks first. What it does not hold is new and is not shuffled; only the
+    rest meets the seen-set. The result is the same with a filter of any size.
     """
+    if filter_bytes is not None:
+        known = seen_filter(processed_ids, filter_bytes)
+        marked = _maybe_seen(messages, known)
+        exact = anti_join_processed(marked.filter(_MAYBE).drop(_MAYBE), processed_ids)
+        return marked.filter(~F.col(_MAYBE)).drop(_MAYBE).unionByName(exact)
     return (
         _probe(messages)
         .join(_seen(processed_ids), ["message_id", "_spread"], "left_anti")
@@ -70,6 +81,46 @@ def anti_join_processed(messages: DataFrame, processed_ids: DataFrame) -> DataFr
     )
 
 
+# Bits of one bitmap of the Bloom filter, as Spark's bitmap functions build them.
+BITMAP_BITS = 32768
+BITS_PER_ID = 10
+HASHES = 2
+_MAYBE = "_maybe"
+
+
+def seen_filter(processed_ids: DataFrame, max_bytes: int, bits_per_id: int = BITS_PER_ID) -> tuple[DataFrame, int]:
+    """(bucket, bits) of a Bloom filter over the IDs, and its number of buckets: `max_bytes` at most."""
+    wanted = -(-processed_ids.count() * bits_per_id // BITMAP_BITS)
+    buckets = max(1, min(wanted, max_bytes * 8 // BITMAP_BITS))
+    places = F.array(*[_place(i, buckets) for i in range(HASHES)])
+    rows = processed_ids.select(F.explode(places).alias("place"))
+    bitmap = F.bitmap_construct_agg(F.col("place") % BITMAP_BITS).alias("bits")
+    return rows.groupBy(F.floor(F.col("place") / BITMAP_BITS).alias("bucket")).agg(bitmap), buckets
+
+
+def _place(number: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64("message_id", F.lit(number)), F.lit(buckets * BITMAP_BITS))
+
+
+def _maybe_seen(messages: DataFrame, known: tuple[DataFrame, int]) -> DataFrame:
+    """Add whether the filter holds an ID; a blank ID is never in the seen-set."""
+    bitmaps, buckets = known
+    rows = messages
+    for i in range(HASHES):
+        # At most max_bytes in all, whatever the size of the seen-set.
+        own = F.broadcast(bitmaps.select(F.col("bucket").alias(f"_bucket{i}"), F.col("bits").alias(f"_bits{i}")))
+        place = _place(i, buckets)
+        rows = rows.withColumn(f"_bucket{i}", F.floor(place / BITMAP_BITS)).join(own, f"_bucket{i}", "left")
+        at = place % BITMAP_BITS
+        byte = F.conv(F.hex(F.substring(f"_bits{i}", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        bit = F.getbit(F.coalesce(byte, F.lit(0)), (at % 8).cast("int"))
+        rows = rows.withColumn(f"_hit{i}", bit == 1).drop(f"_bits{i}", f"_bucket{i}")
+    hit = F.col("message_id") != ""
+    for i in range(HASHES):
+        hit = hit & F.col(f"_hit{i}")
+    return rows.withColumn(_MAYBE, F.coalesce(hit, F.lit(False))).drop(*[f"_hit{i}" for i in range(HASHES)])
+
+
 def mark_stops(
     messages: DataFrame, processed_ids: DataFrame, policy: str = "reference"
 ) -> DataFrame:

@@ -11,7 +11,8 @@ batch, not of the table.
 
 `compact_incidents` writes the incident table of a log to a snapshot folder
 named by its last batch; `incident_table` starts from the newest snapshot and
-folds the later batches only.
+folds the later batches only. `merge_log` keeps the table in partitions by key
+(`incident_files`), of which it rewrites those that the new batches touch.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from sirenframe.plans.extraction import extract_incidents
 from sirenframe.plans.ingest import prepare_responses
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_PAYLOAD
 from sirenframe.sources.documents import quarantine_errors
+from sirenframe.streaming.pages import HOLD_SECONDS, data_batches_only, hold_pages
+from sirenframe.streaming.table import PARTS, PartitionedTable
 
 LOG = T.StructType(
     [
@@ -46,7 +49,7 @@ LOG = T.StructType(
         T.StructField("success", T.BooleanType()),
     ]
 )
-# Error of a document that a micro-batch holds in part.
+# Error of a document of which not all pages have come in time.
 INCOMPLETE = "incomplete document, pages here: "
 # Order in which documents are processed; the last one of a key wins.
 PROCESSING_ORDER = ("batch_no", "arrived_at", "doc_id")
@@ -98,33 +101,40 @@ def ingest_pages(
     checkpoint: str,
     created: Column | None = None,
     rules: dict | None = None,
+    hold_seconds: int = HOLD_SECONDS,
     **trigger,
 ) -> StreamingQuery:
     """Stream of (doc_id, arrived_at, page_no, n_pages, text) -> log.
 
-    `n_pages` is the page count of the document. A document of which a
-    micro-batch does not hold that many pages, or of which the count is not
-    known, is quarantined, not stored in part.
+    `n_pages` is the page count of the document. A document may come in several
+    micro-batches: its pages are held until all have come (`hold_pages`) and it is
+    stored with the last one. One that is not complete after `hold_seconds`, or of which the
+    count is not known by then, is quarantined, not stored in part.
     """
     at = F.col("arrived_at") if created is None else created
 
     def write(batch: DataFrame, batch_no: int) -> None:
         incidents = extract_incidents(batch, carry=["arrived_at"], **(rules or {}))
         counts = batch.groupBy("doc_id").agg(
-            F.count_distinct("page_no").alias("_here"), F.max("n_pages").alias("_pages")
+            F.count("*").alias("_here"), F.max("n_pages").alias("_pages"), F.bool_and("complete").alias("_whole")
         )
-        whole = F.coalesce(F.col("_here") == F.col("_pages"), F.lit(False))
         problem = F.concat(
             F.lit(INCOMPLETE), F.col("_here"), F.lit(" of "), F.coalesce(F.col("_pages").cast("string"), F.lit("?"))
         )
-        responses = incidents.join(counts, "doc_id").select(
-            "doc_id",
+        # A null ID is a document like others.
+        same = incidents["doc_id"].eqNullSafe(counts["doc_id"])
+        responses = incidents.join(counts, same).select(
+            incidents["doc_id"],
             "arrived_at",
-            F.when(whole, F.col("content")).otherwise(error_json(problem)).alias("response_text"),
+            F.when(F.col("_whole"), F.col("content")).otherwise(error_json(problem)).alias("response_text"),
         )
         _write_batch(prepare_responses(responses, at, ["doc_id", "arrived_at"]), log, batch_no)
 
-    return _start(pages, write, checkpoint, trigger)
+    held = hold_pages(pages, hold_seconds)
+    if not trigger.get("availableNow"):
+        return _start(held, write, checkpoint, trigger)
+    with data_batches_only(pages.sparkSession):
+        return _start(held, write, checkpoint, trigger)
 
 
 def ingested(spark: SparkSession, log: str) -> DataFrame:
@@ -192,3 +202,21 @@ def compact_incidents(spark: SparkSession, log: str, snapshots: str) -> None:
     if batches and (not taken or taken[-1] < batches[-1]):
         table = incident_table(spark, log, snapshots)
         table.write.mode("overwrite").parquet(f"{snapshots.rstrip('/')}/batch_no={batches[-1]}")
+
+
+def merge_log(spark: SparkSession, log: str, table: PartitionedTable) -> list[int]:
+    """Fold the batches of a log that a partitioned table does not have into it; the partitions rewritten.
+
+    The merge is named by the last batch. Batches without a good row leave the table as it is.
+    """
+    batches, merged = _folders(spark, log, "batch_no"), table.versions()
+    later = [b for b in batches if not merged or b > merged[-1]]
+    if not later:
+        return []
+    rows = ingested(spark, log).filter(F.col("success") & F.col("batch_no").between(later[0], later[-1]))
+    return table.merge(rows, PROCESSING_ORDER, later[-1])
+
+
+def incident_files(spark: SparkSession, path: str, parts: int = PARTS) -> PartitionedTable:
+    """The incident table as partitioned files."""
+    return PartitionedTable(spark, path, LOG, parts)

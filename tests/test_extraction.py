@@ -14,7 +14,7 @@ Unit Dispatched: U1
 Incident Type: EMS
 Dispatch Time
 11/20/2025 23:49:01
-Location: RIVERTON TWP OAKVIEW II / 12 ELM DR #606
+Location: HARBOR TWP FERRY HOUSE / QUAY 3 #1-A
 Unit ID Date / Time Status Dispatcher
 U2 11/20/2025 23:50:00 RESP D1
 U1 11/20/2025 23:55:00 RESP D1
@@ -46,11 +46,11 @@ def test_sheet_over_two_pages(spark):
     }
     assert record["incidentTimes"]["cad"] == "123456"
     assert record["incidentLocation"] == {
-        "raw": "RIVERTON TWP OAKVIEW II / 12 ELM DR #606",
-        "territory": "RIVERTON TWP",
-        "location_name": "OAKVIEW II",
-        "street_address": "12 ELM DR",
-        "apartment": "606",
+        "raw": "HARBOR TWP FERRY HOUSE / QUAY 3 #1-A",
+        "territory": "HARBOR TWP",
+        "location_name": "FERRY HOUSE",
+        "street_address": "QUAY 3",
+        "apartment": "1-A",
     }
     assert "parsingErrors" not in record
 
@@ -85,8 +85,8 @@ def test_defects_are_reported_and_the_rest_is_kept(spark):
 
 
 def test_raw_location_is_kept_when_it_has_no_address(spark):
-    record = incident(spark, SHEET.replace("RIVERTON TWP OAKVIEW II / 12 ELM DR #606", "RIVERTON TWP"))
-    assert record["incidentLocation"] == {"raw": "RIVERTON TWP", "territory": "RIVERTON TWP"}
+    record = incident(spark, SHEET.replace(" FERRY HOUSE / QUAY 3 #1-A", ""))
+    assert record["incidentLocation"] == {"raw": "HARBOR TWP", "territory": "HARBOR TWP"}
     assert record["parsingErrors"] == [{"field": "incidentLocation", "error": x.NO_ADDRESS}]
 
 
@@ -194,3 +194,14 @@ def test_timeline_and_summary(spark):
     assert rows(reports.incident_timeline(twice, ["k"])) == [(1, 0, "a", "3", ""), (1, 1, "b", "2", "")]
     assert rows(reports.incident_summary(df, ["k"]), "k") == [
         (1, "N/A", "N/A", None, None, None, "2"), (2, "N/A", "N/A", None, None, None, None)]
+
+
+def test_timeline_is_linear_in_the_keys_of_a_record(spark):
+    """Of a key given twice the last value at the place of the first; a record of very many keys."""
+    keys = [f"k{(i * 7919) % 5000}" for i in range(5000)] + ["k0", "k7"]
+    times = ",".join(f'"{k}":{{"date":"d{i}"}}' for i, k in enumerate(keys))
+    df = spark.createDataFrame([(1, '{"incidentTimes":{"times":{' + times + "}}}"), (2, "{}"), (3, None)], "id int, content string")
+    got = rows(reports.incident_timeline(df, ["id"]).select("ordinal", "event", "date"), "ordinal")
+    order = list(dict.fromkeys(keys))
+    last = {k: f"d{i}" for i, k in enumerate(keys)}
+    assert got == [(i, k, last[k]) for i, k in enumerate(order)]

@@ -113,3 +113,29 @@ SKEW = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.coalescePartitions.enabled": "false",
 }
+
+
+@pytest.mark.parametrize("filter_bytes", [1, 4096, 1 << 20])
+def test_filtered_anti_join_equals_the_plain_one(spark, filter_bytes):
+    ids = spark.range(9000).select(F.when(F.col("id") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("<"), "id", F.lit(">"))).alias("message_id"))
+    messages = ids.select(F.lit("m").alias("mailbox"), F.monotonically_increasing_id().alias("seq"), "message_id")
+    seen = spark.range(20000).filter("id % 7 = 0").select(F.concat(F.lit("<"), "id", F.lit(">")).alias("message_id"))
+    for known in (seen, seen.limit(0)):
+        want = rows(s.anti_join_processed(messages, known).select("seq", "message_id"))
+        assert rows(s.anti_join_processed(messages, known, filter_bytes).select("seq", "message_id")) == want
+
+
+def test_filter_is_bounded_and_keeps_new_ids_from_the_shuffle(spark):
+    seen = spark.range(200_000).select(F.concat(F.lit("<"), "id", F.lit(">")).alias("message_id"))
+    bitmaps, buckets = s.seen_filter(seen, 1 << 20)
+    assert buckets == -(-2_000_000 // 32768)
+    assert bitmaps.agg(F.sum(F.length("bits"))).first()[0] <= 1 << 20
+    assert s.seen_filter(seen, 1 << 14)[1] == 4
+    new = spark.range(200_000, 300_000).select(F.concat(F.lit("<"), "id", F.lit(">")).alias("message_id"))
+    maybe = s._maybe_seen(new, s.seen_filter(seen, 1 << 20)).filter("_maybe").count()
+    assert maybe < 5000
+    assert s._maybe_seen(seen, s.seen_filter(seen, 1 << 14)).filter("NOT _maybe").count() == 0
+    messages = new.select(F.lit("m").alias("mailbox"), F.lit(1).alias("seq"), "message_id")
+    plan = s.anti_join_processed(messages, seen, 1 << 20)._jdf.queryExecution().executedPlan().toString()
+    # New IDs go by the branch without an exchange; only hits are joined.
+    assert "Union" in plan and plan.count("LeftAnti") == 1

@@ -6,6 +6,7 @@ from conftest import rows
 from sirenframe import shared_dir, sources
 from sirenframe.plans.poll import poll_round, save_attachments
 from sirenframe.sources.documents import append_quarantine, error_file_name
+from sirenframe.sources.state import compact_processed_ids
 
 HEAD = (
     "Message-ID:  {id} \r\nFrom: =?utf-8?q?D=C3=A9sk?= <desk@x.org>\r\nSubject: {subject}\r\n"
@@ -138,7 +139,50 @@ def test_seen_set(spark, folder):
     sources.append_processed_ids(spark, ids, state)
     sources.append_processed_ids(spark, spark.createDataFrame([("<b>",), ("<c>",)], "message_id string"), state)
     assert rows(sources.load_processed_ids(spark, state)) == [("<a>",), ("<b>",), ("<c>",)]
-    assert spark.read.text(state).count() == 3
+    assert spark.read.text(f"{state}/since-0").count() == 3
+
+
+def test_seen_set_in_generations(spark, folder):
+    state = f"{folder}/state"
+    os.makedirs(state)
+    with open(f"{state}/by-hand.txt", "w") as f:
+        f.write("<hand>\n")
+    counts = []
+    for i in range(50):
+        ids = spark.createDataFrame([(f"<{i}>",), (f"<{i // 2}>",)], "message_id string").coalesce(1)
+        sources.append_processed_ids(spark, ids, state, max_files=6)
+        counts.append(sum(n.startswith("part-") for _, _, names in os.walk(state) for n in names))
+    assert {r[0] for r in sources.load_processed_ids(spark, state).collect()} == {"<hand>", *[f"<{i}>" for i in range(50)]}
+    assert max(counts[25:]) <= max(counts[:25]) + 2 <= 40
+
+
+def test_readers_of_the_seen_set_never_notice_a_new_generation(spark, folder, monkeypatch):
+    state = f"{folder}/state"
+
+    def add(*ids):
+        sources.append_processed_ids(spark, spark.createDataFrame([(i,) for i in ids], "message_id string"), state)
+
+    def known():
+        return sorted(r[0] for r in sources.load_processed_ids(spark, state).collect())
+
+    add("<1>")
+    compact_processed_ids(spark, state)
+    add("<2>")
+    # A generation that was not finished, and an append made meanwhile.
+    os.makedirs(f"{state}/since-2")
+    os.makedirs(f"{state}/generation-2")
+    with open(f"{state}/generation-2/part-0.txt", "w") as f:
+        f.write("<half>\n")
+    add("<3>")
+    assert known() == ["<1>", "<2>", "<3>"]
+    compact_processed_ids(spark, state)
+    assert known() == ["<1>", "<2>", "<3>"]
+    # An append that had begun before the new generation.
+    with open(f"{state}/since-2/late.txt", "w") as f:
+        f.write("<4>\n")
+    assert known() == ["<1>", "<2>", "<3>", "<4>"]
+    compact_processed_ids(spark, state)
+    assert known() == ["<1>", "<2>", "<3>", "<4>"]
 
 
 def files(folder, *names):
