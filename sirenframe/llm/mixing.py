@@ -85,7 +85,7 @@ def mix(
         "spans", lambda s: (F.col("key") > s["low"]) & (F.col("key") < s["high"]) & (F.col("size") <= s["fits"])
     )
     again = F.coalesce(chosen, F.lit(False)).cast("long")
-    joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    joined = rows.alias("r").join(_salted(plan).alias("p"), _own("p"))
     return joined.select(
         "doc_id", "size", "r.source", "source_size", "target", (F.col("size") * (F.col("whole") + again)).alias("taken")
     )
@@ -154,8 +154,8 @@ def _thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     while True:
         # The bucket in which the room runs out, of the rows that share the digits found so far.
         joined = rows.alias("r").join(
-            seeking.alias("w"),
-            F.col("r.source").eqNullSafe(F.col("w.source"))
+            _salted(seeking).alias("w"),
+            _own("w")
             & (F.substring("key", 1, digits) == F.col("high"))
             & (F.col("key") > F.col("low"))
             & (F.col("size") <= F.col("fits")),
@@ -189,5 +189,15 @@ def _thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
 
 
+def _salted(by_source: DataFrame) -> DataFrame:
+    """A row per source and first digit of a key, so that a source's rows meet theirs in many tasks."""
+    return by_source.withColumn("salt", F.explode(F.split(F.lit("0123456789abcdef"), "(?!^)")))
+
+
+def _own(side: str):
+    same = F.col("r.source").eqNullSafe(F.col(f"{side}.source"))
+    return same & (F.substring("r.key", 1, 1) == F.col(f"{side}.salt"))
+
+
 def _same_source():
     return F.col("p.source").eqNullSafe(F.col("s.source"))
