@@ -85,8 +85,9 @@ class PartitionedTable:
         current = {k: v for k, v in self._current(version).items() if k in touched}
         merged = upsert_incidents(self._read(current), rows, order, self.key, self.payload, self.created)
         (
+            # A partition is a file where it is small, and as many as its size asks for where it is not.
             merged.withColumn(_PART[:-1], part)
-            .repartition(_PART[:-1])
+            .hint("rebalance", F.col(_PART[:-1]))
             .write.mode("overwrite")
             .partitionBy(_PART[:-1])
             .parquet(f"{self.path}/{_VERSION}{version}")
