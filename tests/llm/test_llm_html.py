@@ -79,3 +79,61 @@ def test_planted_articles_come_back_whole(spark):
     assert len(got) == len(rows)
     assert all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="page-with-sidebar">', "</div>"),
+        ('<div id="has-header">', "</div>"),
+        ('<div id="widget-content"><div class="side">', "</div></div>"),
+        ("<form method=post action=x>", "</form>"),
+        ('<form class="search"><div role="form">', "</div></form>"),
+    ],
+)
+def test_wrappers_of_the_prose_stay(before, after):
+    inner = f'<p>{PARAGRAPH}</p><p>{PARAGRAPH} Twice.</p><div class="sidebar"><p>{PARAGRAPH}</p></div><p>{PARAGRAPH}</p>'
+    page = f"<body>{before}{inner}{after}<div class=notice>{PARAGRAPH}</div></body>"
+    assert main_text(page) == f"{PARAGRAPH}\n\n{PARAGRAPH} Twice.\n\n{PARAGRAPH}"
+
+
+def test_a_small_form_or_named_part_goes():
+    page = f"<p>{PARAGRAPH}</p><form><p>{PARAGRAPH[:60]}</p></form><p>{PARAGRAPH} Again.</p>"
+    assert main_text(page) == f"{PARAGRAPH}\n\n{PARAGRAPH} Again."
+
+
+def test_anchors_and_longer_names_inside_the_article_stay():
+    page = (
+        f'<article><h2 id="related-work">Related work</h2><p id="share">{PARAGRAPH}</p>'
+        f'<div class="legal-history"><p>{PARAGRAPH}</p></div><div class="legal"><p>small print</p></div></article>'
+    )
+    assert main_text(page) == f"Related work\n\n{PARAGRAPH}\n\n{PARAGRAPH}"
+
+
+def test_a_teaser_article_does_not_hide_the_text():
+    page = f"<div>{PARAGRAPH}</div><article><a href=x>teaser</a></article><div>{PARAGRAPH}</div><div>{PARAGRAPH}</div>"
+    text = main_text(page)
+    assert text.count(PARAGRAPH) == 3
+
+
+def _slow_regions(lengths, window, surge):
+    """Regions by looking at every line anew: a line belongs to the region of the lines with text near it."""
+    own = [i for i, n in enumerate(lengths) if n]
+    groups = []
+    for i in own:
+        if groups and not any(all(not lengths[j] for j in range(b, b + window)) for b in range(groups[-1][-1] + 1, i - window + 1)):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    windows = [(b, sum(lengths[b : b + window])) for b in range(len(lengths))]
+    strong = [g for g in groups if any(n >= surge and b + window > g[0] and b <= g[-1] for b, n in windows)]
+    most = sorted(groups, key=lambda g: sum(lengths[i] for i in g))[-1:]
+    return [(g[0], g[-1] + 1) for g in strong or most]
+
+
+def test_surge_and_dive_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(3000):
+        lengths = [rng.choice([0, 0, 0, 1, 5, 30, 79, 80, 200]) for _ in range(rng.randrange(25))]
+        window, surge = rng.randrange(1, 6), rng.choice([1, 80, 150])
+        assert regions(lengths, window, surge) == _slow_regions(lengths, window, surge), (lengths, window, surge)
