@@ -8,7 +8,7 @@ is kept, however short its lines.
 
 What an element is called says little where the text says otherwise: a form, or an element named
 after a sidebar or the like, that holds most of the page's prose (long lines that are not
-links) is a wrapper and stays. An element that marks the article decides only where it
+links) is a wrapper and stays, unless the page marks an article elsewhere. An element that marks the article decides only where it
 holds most of the prose left.
 """
 
@@ -133,14 +133,20 @@ def _prose(line: tuple) -> int:
     return own if own >= PROSE_CHARS and 2 * own >= len(text) else 0
 
 
-def _settled(lines: list[tuple], wrappers: set[int]) -> list[tuple[str, int, bool]]:
-    """Lines without those of dropped elements; of each such element a line without length stays."""
+def _settled(lines: list[tuple], wrappers: set[int], inner: set[int]) -> list[tuple[str, int, bool]]:
+    """Lines without those of dropped elements; of each such element a line without length stays.
+
+    `wrappers` are around the article, `inner` ones inside one. Where there is an article with text of its own, what is
+    named after an advert beside it stays out, however short the article.
+    """
     prose: dict[int, int] = {}
     for line in lines:
         for number in line[3]:
             prose[number] = prose.get(number, 0) + _prose(line)
     total = sum(map(_prose, lines))
-    kept = wrappers | {number for number, own in prose.items() if 2 * own > total}
+    article = any(own for _, own, in_article, around in lines if in_article and inner.isdisjoint(around))
+    kept = {number for number, own in prose.items() if 2 * own > total and (number in inner or not article)}
+    kept |= wrappers
     out, last = [], None
     for text, own, in_article, around in lines:
         dropped = next((number for number in around if number not in kept), None)
@@ -159,6 +165,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     dropped_at = 0  # depth of the outermost element dropped for good, 0 if none
     around: list[tuple[int, int]] = []  # (depth, number) of open elements that are dropped unless they hold prose
     wrappers: set[int] = set()
+    inner: set[int] = set()
     number = 0
     seen = False
     articles = links = 0
@@ -215,6 +222,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             dropped_at = len(stack) + 1
         elif drop:
             around.append((len(stack) + 1, number))
+            inner.update([number] if articles else [])
             number += 1
         if tag in ("article", "main") and not dropped_at and not drop:
             if not seen:
@@ -227,7 +235,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     if at < len(page) and not dropped_at:
         out.add(page[at:], links > 0)
     out.end(articles > 0, around)
-    return _settled(out.lines, wrappers)
+    return _settled(out.lines, wrappers, inner)
 
 
 def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[tuple[int, int]]:

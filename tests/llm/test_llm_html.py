@@ -137,3 +137,8 @@ def test_surge_and_dive_against_brute_force():
         lengths = [rng.choice([0, 0, 0, 1, 5, 30, 79, 80, 200]) for _ in range(rng.randrange(25))]
         window, surge = rng.randrange(1, 6), rng.choice([1, 80, 150])
         assert regions(lengths, window, surge) == _slow_regions(lengths, window, surge), (lengths, window, surge)
+
+
+def test_a_short_article_beside_a_long_advert():
+    page = f"<div class=ad>{PARAGRAPH}</div><article><h1>One.</h1><p>Two.</p></article><div class=sidebar><p>{PARAGRAPH}</p></div>"
+    assert main_text(page) == "One.\n\nTwo."
