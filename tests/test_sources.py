@@ -148,12 +148,12 @@ def test_seen_set_in_generations(spark, folder):
     with open(f"{state}/by-hand.txt", "w") as f:
         f.write("<hand>\n")
     counts = []
-    for i in range(50):
+    for i in range(24):
         ids = spark.createDataFrame([(f"<{i}>",), (f"<{i // 2}>",)], "message_id string").coalesce(1)
-        sources.append_processed_ids(spark, ids, state, max_files=6)
+        sources.append_processed_ids(spark, ids, state, max_files=3)
         counts.append(sum(n.startswith("part-") for _, _, names in os.walk(state) for n in names))
-    assert {r[0] for r in sources.load_processed_ids(spark, state).collect()} == {"<hand>", *[f"<{i}>" for i in range(50)]}
-    assert max(counts[25:]) <= max(counts[:25]) + 2 <= 40
+    assert {r[0] for r in sources.load_processed_ids(spark, state).collect()} == {"<hand>", *[f"<{i}>" for i in range(24)]}
+    assert max(counts[12:]) <= max(counts[:12]) + 2 <= 24
 
 
 def test_readers_of_the_seen_set_never_notice_a_new_generation(spark, folder, monkeypatch):
