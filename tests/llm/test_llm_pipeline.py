@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sirenframe.llm import substring_dedup, toxicity
-from sirenframe.llm.simhash import fingerprint
+from sirenframe.llm.near_copies import shingles, similarity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,20 +41,15 @@ def _squeezed(text):
 
 
 def _near_groups(docs):
-    label = {}
-    for d in docs:
-        p = fingerprint(d[1] or "")
-        label.setdefault(p, p)
-    prints = sorted(label)
-    changed = True
-    while changed:
-        changed = False
-        for p in prints:
-            for q in prints:
-                if (p ^ q).bit_count() <= 2 and label[p] != label[q]:
-                    label[p] = label[q] = min(label[p], label[q])
-                    changed = True
-    return {d[0]: label[fingerprint(d[1] or "")] for d in docs}
+    """Groups of texts whose five-word shingles are similar by 0.8 or more, over all pairs."""
+    sets = [shingles(d[1] or "") for d in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= 0.8:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {d[0]: label[i] for i, d in enumerate(docs)}
 
 
 def test_stages_equal_brute_force(spark, folder):
