@@ -87,3 +87,10 @@ def test_swap_and_penalty():
     _, held = tox.fit(x, y, moved, 100.0)
     assert abs(held[1]) < 0.05 * abs(free[1])
     assert held[0] > free[0] * 0.9
+
+
+def test_a_repeated_id_counts_once(spark, corpus):
+    docs, labels, truth = corpus
+    toxic = min(i for i, y in truth.items() if y and tox.crc_fold(i) != 1)
+    many = docs.unionByName(docs.filter(docs.doc_id == toxic).crossJoin(spark.range(300)).drop("id"))
+    assert tox.train(many, labels, n_features=64) == tox.train(docs, labels, n_features=64)
