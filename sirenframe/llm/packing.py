@@ -24,11 +24,10 @@ from sirenframe.llm.tokens import END_ID, encoder
 
 CAPACITY = 2048
 GROUP_ITEMS = 100_000
-MAX_ROUNDS = 6
 STEPS = 24
 # A bin number holds its round, its group and its place in the group.
-ROUND_BIT = 56
-GROUP_BIT = 32
+ROUND_BIT = 46
+GROUP_BIT = 24
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -144,9 +143,10 @@ def _packed(rest: DataFrame, capacity: int, group_items: int) -> DataFrame:
     )
     state = staged(_repack(dealt, 0, capacity), "packed")
     total = _bins(state)
-    for round_no in range(1, MAX_ROUNDS + 1):
-        if total <= bound:
-            break
+    round_no = 0
+    # Until the bound is met or a round saves nothing.
+    while total > bound:
+        round_no += 1
         chosen = staged(_released(state, capacity), "released")
         size = chosen.agg(F.sum("n")).first()[0] or 0
         groups = max(1, -(-size // group_items))
