@@ -32,7 +32,17 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
     """Write rows to a new folder of the shared root and read them back: lineage ends here."""
     path = shared_dir(rows.sparkSession, purpose)
     rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free_name(rows: DataFrame, wanted: str) -> str:
