@@ -55,12 +55,11 @@ class TextEncoder:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, set()
         for pieces in cut:
-            for piece in pieces or ():
-                if piece not in young:
-                    if piece in old:
-                        young[piece] = old[piece]
-                    else:
-                        new.add(piece)
+            for piece in set(pieces or ()).difference(young):
+                if piece in old:
+                    young[piece] = old[piece]
+                else:
+                    new.add(piece)
         self._encode(new)
         for text, pieces in zip(texts, cut):
             if pieces is None:
