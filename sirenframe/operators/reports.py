@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sirenframe.operators.barrier import computed_once
 from sirenframe.operators.variants import kind
 from sirenframe.schemas import INCIDENT
 
@@ -20,8 +21,10 @@ def incident_timeline(incidents: DataFrame, keys: list[str]) -> DataFrame:
     key given twice the last value counts, at the place of the first.
     """
     times = F.map_entries(F.from_json("content", _TIMES)["incidentTimes"]["times"])
-    read = incidents.select(*keys, times.alias("_times"))
-    once = _last_of_each_key(F.col("_times"))
+    # What the lambdas below look into must be a value by then, not an expression.
+    read = computed_once(incidents.select(*keys, times.alias("_times")), {"_times": F.col("_times")})
+    read = computed_once(read, {"_places": _sorted_keys(F.col("_times"))})
+    once = _last_of_each_key(F.col("_times"), F.col("_places"))
     return (
         read.select(*keys, F.posexplode(once).alias("ordinal", "_entry"))
         .select(*keys, "ordinal", F.col("_entry.key").alias("event"), F.col("_entry.value").alias("value"))
@@ -36,12 +39,13 @@ def incident_timeline(incidents: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _last_of_each_key(entries: Column) -> Column:
-    """The last entry of each key, at the place of the key's first entry, for entries in any number.
+def _sorted_keys(entries: Column) -> Column:
+    """Keys with their places, so that copies of a key are neighbours."""
+    return F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
 
-    Keys are sorted with their places, so copies of a key are neighbours: no entry is compared with all others.
-    """
-    places = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+
+def _last_of_each_key(entries: Column, places: Column) -> Column:
+    """The last entry of each key, at the place of the key's first entry; no entry is compared with all others."""
 
     def ends(step: int) -> Column:
         return F.filter(
