@@ -52,13 +52,26 @@ def fingerprint(text: str) -> int:
     for begin in range(0, n, HASH_BLOCK):
         part = words[begin : begin + HASH_BLOCK + SHINGLE_WORDS - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(SHINGLE_WORDS))))
-        lanes = np.fromiter(map(_hash, shingles), dtype="<u8").view(np.uint8).reshape(-1, 8)
-        for lane in range(8):
-            counts[lane] += np.bincount(lanes[:, lane], minlength=256) @ _BITS
+        counts += _bit_counts(np.fromiter(map(_hash, shingles), dtype="<u8"))
+    return _majority(counts, n)
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, by byte."""
+    lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    return np.stack([np.bincount(lanes[:, lane], minlength=256) @ _BITS for lane in range(8)])
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     bits = (counts * 2 > n).reshape(64)
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of a text whose shingles have these hashes, unsigned."""
+    return _majority(_bit_counts(hashes), len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row_no, doc_id, print): the fingerprint as a signed long, one row per input row."""
     row_no = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
@@ -127,6 +140,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return only_rows(keyed, row_col, kept)
 
 
+def close_pairs(
+    prints: DataFrame, shard_size: int = SHARD_SIZE, leaf_size: int = LEAF_SIZE
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of rows (row_no, print) within MAX_BITS; the staged table they are made of.
+
+    Not all pairs: each row with the first row of its fingerprint, and first rows of
+    different fingerprints, as many as join all that is linked.
+    """
+    nodes = staged(prints.groupBy("print").agg(F.min("row_no").alias("first")), "nodes")
+    equal = prints.join(nodes, "print").filter("row_no <> first").select(
+        F.col("first").alias("a"), F.col("row_no").alias("b")
+    )
+    links = _links(nodes.select("print"), shard_size, leaf_size)
+    for end in ("a", "b"):
+        rows = nodes.select(F.col("print").alias(end), F.col("first").alias(f"row_{end}"))
+        links = links.join(rows, end)
+    close = links.select(
+        F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")
+    )
+    return equal.unionByName(close), nodes
+
+
 def _links(nodes: DataFrame, shard_size: int, leaf_size: int) -> DataFrame:
     """Spanning links (a, b) of all pairs of distinct fingerprints within MAX_BITS."""
     total = nodes.count()
@@ -183,9 +218,8 @@ def _route(tree, prints: np.ndarray, radius: int, shard: int = 1) -> Iterator[tu
 
 
 def spanning_links(prints: np.ndarray, leaf_size: int = LEAF_SIZE) -> pd.DataFrame:
-    """Links that join what is within MAX_BITS of each other, at most one per fingerprint."""
+    """Pairs within MAX_BITS that join all such pairs, fewer than fingerprints."""
     prints = np.unique(prints)
-    label = np.arange(len(prints))
     pending = [np.arange(len(prints))]
     left, right = [], []
     while pending:
@@ -202,10 +236,9 @@ def spanning_links(prints: np.ndarray, leaf_size: int = LEAF_SIZE) -> pd.DataFra
         right.append(found[1])
     a = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
     b = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
-    label = _least_labels(label, a, b)
-    tied = np.flatnonzero(label != np.arange(len(prints)))
+    kept = _forest(len(prints), a, b)
     signed = prints.view(np.int64)
-    return pd.DataFrame({"a": signed[tied], "b": signed[label[tied]]})
+    return pd.DataFrame({"a": signed[a[kept]], "b": signed[b[kept]]})
 
 
 def _halves(prints: np.ndarray, part: np.ndarray) -> list[np.ndarray] | None:
@@ -224,9 +257,8 @@ def _leaf_links(prints: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.nd
     close = np.bitwise_count(own[:, None] ^ own[None, :]) <= MAX_BITS
     i, j = np.nonzero(np.triu(close, 1))
     if len(i) > len(part):  # a dense leaf: keep a spanning set only
-        label = _least_labels(np.arange(len(part)), i, j)
-        i = np.flatnonzero(label != np.arange(len(part)))
-        j = label[i]
+        kept = _forest(len(part), i, j)
+        i, j = i[kept], j[kept]
     return part[i], part[j]
 
 
@@ -241,6 +273,22 @@ def _dense_links(prints: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.n
     return who[1:][same], who[:-1][same]
 
 
+def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links a-b are enough to join all that they join."""
+    label, kept = np.arange(size), np.zeros(len(a), dtype=bool)
+    while True:
+        apart = np.flatnonzero(label[a] != label[b])
+        if not len(apart):
+            return np.flatnonzero(kept)
+        # Each part takes its first link to another one, so no circle is closed.
+        first = np.full(size, len(a))
+        np.minimum.at(first, label[a[apart]], apart)
+        np.minimum.at(first, label[b[apart]], apart)
+        taken = np.unique(first[first < len(a)])
+        kept[taken] = True
+        label = _least_labels(label, a[taken], b[taken])
+
+
 def _least_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position each position is joined to through the links a-b."""
     label = label.copy()

@@ -5,8 +5,9 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sirenframe.llm import near_copies
+from sirenframe.llm import near_copies, simhash
 from sirenframe.llm.near_copies import keep_one, shingles, similarity
+from sirenframe.llm.simhash import fingerprint_of
 
 SCHEMA = "doc_id long, text string"
 
@@ -120,3 +121,49 @@ def test_edge_rows(spark):
     kept = keep_one(spark.createDataFrame(data, schema))
     assert kept.columns == ["doc_id", "text", "row_no", "a", "key", "N"]
     assert sorted(r.doc_id for r in kept.select(F.col("doc_id")).collect()) == [2, 3, 5]
+
+
+def _distance(a, b):
+    return (fingerprint_of(shingles(a)) ^ fingerprint_of(shingles(b))).bit_count()
+
+
+def test_stage_finds_copies_by_simhash_without_bands(spark, folder, monkeypatch):
+    """Copies within two bits go even if no bucket is shared; what is similar by less than 0.8 stays."""
+    none = lambda signed: (signed.select(F.col("row_no").alias("a"), F.col("row_no").alias("b")).limit(0), ())
+    monkeypatch.setattr(near_copies, "candidates", none)
+    rng, texts, close = random.Random(6), [], set()
+    for i in range(40):
+        words = _words(rng, 600)
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+        if _distance(*texts[-2:]) <= 2:
+            close.add(2 * i + 1)
+    texts += [" ".join(["x"] * 40 + ["p", "q", "r"]), " ".join(["x"] * 40 + ["u", "v", "w"])]
+    assert len(close) >= 30
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), SCHEMA), folder)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - close
+
+
+def test_close_pairs_join_what_brute_force_joins(spark):
+    rng = random.Random(7)
+    prints = [rng.getrandbits(63) for _ in range(300)]
+    for at in range(0, 300, 3):
+        chain = prints[at]
+        for _ in range(4):
+            chain ^= 1 << rng.randrange(63)
+            chain ^= 1 << rng.randrange(63)
+            prints.append(chain)
+    prints += prints[:50]
+    frame = spark.createDataFrame(list(enumerate(prints)), "row_no long, print long")
+    pairs = [(r.a, r.b) for r in simhash.close_pairs(frame, shard_size=200, leaf_size=16)[0].collect()]
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in pairs)
+
+    def groups(links):
+        label = list(range(len(prints)))
+        for a, b in links:
+            if label[a] != label[b]:
+                old, new = sorted((label[a], label[b]), reverse=True)
+                label = [new if x == old else x for x in label]
+        return label
+
+    n = range(len(prints))
+    assert groups(pairs) == groups((i, j) for i in n for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2)
