@@ -29,6 +29,7 @@ from sirenframe.operators.upsert import latest_by_key, upsert_incidents
 from sirenframe.plans.extraction import extract_incidents
 from sirenframe.plans.ingest import prepare_responses
 from sirenframe.schemas import INCIDENT_KEY, INCIDENT_PAYLOAD
+from sirenframe.session import shared_dir
 from sirenframe.sources.documents import quarantine_errors
 from sirenframe.streaming.pages import HOLD_SECONDS, data_batches_only, hold_pages
 from sirenframe.streaming.table import PARTS, PartitionedTable
@@ -114,6 +115,10 @@ def ingest_pages(
     at = F.col("arrived_at") if created is None else created
 
     def write(batch: DataFrame, batch_no: int) -> None:
+        # Both sides of the join read the batch, which would run the held state twice.
+        folder = shared_dir(batch.sparkSession, "released")
+        batch.write.option("compression", "zstd").parquet(folder)
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(folder)
         incidents = extract_incidents(batch, carry=["arrived_at"], **(rules or {}))
         counts = batch.groupBy("doc_id").agg(
             F.count("*").alias("_here"), F.max("n_pages").alias("_pages"), F.bool_and("complete").alias("_whole")
@@ -129,6 +134,8 @@ def ingest_pages(
             F.when(F.col("_whole"), F.col("content")).otherwise(error_json(problem)).alias("response_text"),
         )
         _write_batch(prepare_responses(responses, at, ["doc_id", "arrived_at"]), log, batch_no)
+        path = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
     held = hold_pages(pages, hold_seconds)
     if not trigger.get("availableNow"):

@@ -84,7 +84,7 @@ class _HoldPages(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        known = {k[0]: v for k, v in self.documents.iterator()} if self.documents.exists() else {}
+        known = {k[0]: v for k, v in self.documents.iterator()}
         quiet, ended = not known, set()
         for batch in rows:
             batch = batch.sort_values("arrived", kind="stable").drop_duplicates(["doc_id", "page_no"], keep="last")
@@ -93,25 +93,31 @@ class _HoldPages(StatefulProcessor):
             whole &= batch["doc_id"].notna() & ~batch["doc_id"].isin(list(known))
             if whole.any():
                 yield _out(batch[whole], True)
-            for doc_id, part in batch[~whole].groupby("doc_id", dropna=False, sort=True):
-                self._hold(None if pd.isna(doc_id) else doc_id, part, known, ended, now)
+            # Plain rows: a frame for each document would cost more than its pages.
+            parts: dict[str | None, list[tuple]] = {}
+            for doc_id, *page in batch.loc[~whole, _COLUMNS].itertuples(index=False, name=None):
+                parts.setdefault(_plain(doc_id), []).append(tuple(map(_plain, page)))
+            for doc_id, part in parts.items():
+                self._hold(doc_id, part, known, ended, now)
         yield from self._released(ended, True)
         if quiet and known:
             self.handle.registerTimer(now + max(1, self.hold_ms))
 
-    def _hold(self, doc_id, part: pd.DataFrame, known: dict, ended: set, now: int) -> None:
+    def _hold(self, doc_id, part: list[tuple], known: dict, ended: set, now: int) -> None:
         """Add pages to a document; it goes to `ended` if it is complete with them."""
         total, here, last, since, finished = known.get(doc_id, (None, 0, 0, now, False))
         if finished and doc_id not in ended:
-            part = part[part["arrived"] > last]
-            if not len(part):
+            part = [page for page in part if page[2] is not None and page[2] > last]
+            if not part:
                 return
             total, here, since, finished = None, 0, now, False
-        for page, n, arrived, text in part[["page_no", "n_pages", "arrived", "text"]].itertuples(index=False):
-            place, n, arrived = (doc_id, _plain(page)), _plain(n), _plain(arrived)
-            before = self.pages.getValue(place) if here else None
+        # Only pages of earlier batches are looked up: this one has each page once.
+        held = here > 0
+        for page, n, arrived, text in part:
+            place = (doc_id, page)
+            before = self.pages.getValue(place) if held else None
             if before is None or (before[1] or 0) <= (arrived or 0):
-                self.pages.updateValue(place, (n, arrived, _plain(text)))
+                self.pages.updateValue(place, (n, arrived, text))
             here += before is None
             last = max(last, arrived or 0)
             total = n if total is None else max(total, n or 0)

@@ -394,3 +394,20 @@ def test_bad_files_do_not_end_the_stream(spark, folder, monkeypatch):
 def test_no_document_at_all(spark, folder):
     document_files(f"{folder}/in", long="x" * 101)
     assert take_documents(spark, folder, max_files_per_trigger=1)[0] == []
+
+
+def test_held_state_is_run_once_a_batch(spark, folder, monkeypatch):
+    """The incidents and the page counts come from one reading of what is released."""
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(pages, hold_seconds):
+        def run(batches):
+            for batch in batches:
+                ran.add(len(batch))
+                yield batch.assign(complete=True)
+
+        return pages.mapInPandas(run, f"{PAGES}, complete boolean")
+
+    monkeypatch.setattr("sirenframe.streaming.ingest.hold_pages", counted)
+    logs = pages_in(spark, folder, [(f"{i}.pdf", DAY1, 0, 1, SHEET.replace("7", str(i))) for i in range(1, 6)])
+    assert logs[0].filter("success").count() == 5 and ran.value == 5
