@@ -1,9 +1,10 @@
 """Token IDs of whole texts by the tokenizers library, with the pieces of a text cached.
 
 Both vocabularies split a text into pieces before they merge bytes, and no piece
-reaches over a blank that stands before a visible character. So a text is cut there,
-and every distinct piece goes through the library once per worker, many in one call;
-the cache is bounded and holds nothing but the library's own results.
+reaches over a blank that stands before a visible character, nor over the end of a line
+behind one. So a text is cut there, and every distinct piece goes through the library
+once per worker, many in one call; the cache is bounded and holds nothing but the
+library's own results.
 """
 
 from __future__ import annotations
@@ -18,14 +19,21 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from sirenframe.llm.piece_cache import MARK, PieceCache  # noqa: E402
+
 CACHE_PIECES = 600_000
 CALL_PIECES = 512
 END_ID = 0
 
 _BLANK_BEFORE_BLANK = re.compile(r" \s")
-_CUT = re.compile(r"(?= \S)")
-# Letters, then marks that neither vocabulary joins with letters (an apostrophe it may).
-_LETTERS_THEN_MARKS = re.compile(r"( ?[a-zA-ZÀ-ÖØ-öø-ɏ]+)([.,;:!?#$%&*|]+)")
+_BLANK_BEFORE_BREAK = re.compile(r"\s\n")
+_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n)")
+# Marks that neither vocabulary joins with a letter before them (an apostrophe it may).
+_MARKS = ".,;:!?#$%&*|"
+# Letters of one code point in any case; dotted I is two when lowered, and its dot takes marks.
+_LETTER = re.compile(r"[a-zA-ZÀ-ÖØ-öø-įı-ɏ]")
+# From here on a character may be composed with the letter before it.
+_COMPOSING = re.compile(r"[\u0300-\U0010ffff]")
 
 
 class TextEncoder:
@@ -33,10 +41,7 @@ class TextEncoder:
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = cache_pieces
-        # Pieces used lately, and those of the generation before.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = PieceCache(self._encode, cache_pieces)
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
         self.stop_id, stop = max(special.items())
@@ -50,44 +55,42 @@ class TextEncoder:
 
     def all_ids(self, texts: Iterable[str]) -> Iterator[bytes]:
         """ids() of each text, in order; what is new in all of them is encoded together."""
-        cut = [None if any(s in t for s in self.special) else self._pieces(t) for t in texts]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, set()
-        for pieces in cut:
-            for piece in set(pieces or ()).difference(young):
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    new.add(piece)
-        self._encode(new)
-        for text, pieces in zip(texts, cut):
+        texts = list(texts)
+        marked = [self._marked(t) for t in texts]
+        together = iter(self.cache.joined([m for m in marked if m is not None]))
+        for text, pieces in zip(texts, marked):
             if pieces is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 yield np.array(ids, dtype="<u4").tobytes()
             else:
-                yield b"".join(map(young.__getitem__, pieces))
-
-    def _pieces(self, text: str) -> list[str]:
-        if _BLANK_BEFORE_BLANK.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        pieces = [first] if first else []
-        return pieces + [" " + piece for piece in rest]
-
-    def _reduced(self, piece: str) -> tuple[str, ...]:
-        """Pieces whose IDs one after the other are those of this piece, commoner than it."""
-        if self.lowers and piece.isascii():
-            piece = piece.lower()
-        match = _LETTERS_THEN_MARKS.fullmatch(piece)
-        return match.groups() if match else (piece,)
-
-    def _encode(self, new: set[str]) -> None:
-        """Add new pieces to the cache; the library encodes each for itself, many in a call."""
-        young = self.young
-        parts = {piece: self._reduced(piece) for piece in new}
-        whole = {part for own in parts.values() for part in own if part not in young}
-        for some in _portions(sorted(whole), CALL_PIECES):
+                yield next(together)
+
+    def _marked(self, text: str) -> str | None:
+        """The text with a mark between its pieces, or None where only the whole text will do."""
+        if self.lowers and not _COMPOSING.search(text):
+            # Of bytes, only A-Z are lowered.
+            lowered = text.encode().lower().decode()
+        else:
+            lowered = text
+        # A special token is read as it is written, so lowering must not make one.
+        if MARK in text or any(s in lowered or s in text for s in self.special):
+            return None
+        if _BLANK_BEFORE_BLANK.search(lowered) or ("\n" in lowered and _BLANK_BEFORE_BREAK.search(lowered)):
+            return _CUT.sub(MARK, lowered)
+        return lowered.replace(" ", MARK + " ").replace("\n", MARK + "\n")
+
+    def _encode(self, new: set[str], known: dict[str, bytes]) -> None:
+        """Add new pieces to the known ones; the library encodes each for itself, many in a call."""
+        split = {}
+        whole = set()
+        for piece in new:
+            letters = piece.rstrip(_MARKS)
+            if len(letters) < len(piece) and _LETTER.match(letters[-1:]):
+                split[piece] = letters, piece[len(letters) :]
+                whole.update(split[piece])
+            else:
+                whole.add(piece)
+        for some in _portions(sorted(whole.difference(known)), CALL_PIECES):
             # A special token between pieces keeps them apart and marks the places.
             text = self.stop.join(some)
             ids = np.array(
@@ -96,10 +99,9 @@ class TextEncoder:
             stops = (np.flatnonzero(ids == self.stop_id) * 4).tolist()
             packed = ids.tobytes()
             for piece, begin, end in zip(some, [0, *(at + 4 for at in stops)], [*stops, len(packed)]):
-                young[piece] = packed[begin:end]
-        for piece, own in parts.items():
-            if own != (piece,):
-                young[piece] = b"".join([young[part] for part in own])
+                known[piece] = packed[begin:end]
+        for piece, (letters, marks) in split.items():
+            known[piece] = known[letters] + known[marks]
 
 
 def _portions(items: list[str], size: int) -> Iterator[list[str]]:

@@ -51,6 +51,30 @@ def test_cached_ids_equal_one_call_of_the_library(path, cache):
         assert list(together.all_ids(part)) == [cut.ids(t) for t in part]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_ids_where_lowering_changes_more_than_the_case(path):
+    whole, cut = Tokenizer.from_file(path), TextEncoder(path)
+    texts = ["İ, x", "aİ. y", "a <|StartOfText|> b <|ENDOFTEXT|>", "H̱ T̈, J̌.\nK", "\x00 a, b\x00", "a\x00", "\n\n a \n\nb.\r\nc\n"]
+    for text in texts:
+        want = np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert cut.ids(text) == want, repr(text)
+    assert list(cut.all_ids(texts)) == [cut.ids(t) for t in texts]
+    assert list(cut.all_ids([])) == []
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_at_line_ends_are_encoded_once(path):
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    texts = [f"{a}.\n{b}" for a in words for b in words]
+    encoder, whole = TextEncoder(path), Tokenizer.from_file(path)
+    calls = []
+    inner = encoder.cache.encode
+    encoder.cache.encode = lambda new, known: (calls.extend(new), inner(new, known))
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encoder.all_ids(texts)) == want
+    assert sorted(calls) == sorted([f"{a}." for a in words] + [f"\n{b}" for b in words])
+
+
 def _fewest(lengths, capacity):
     """Fewest bins by trying all orders of filling (small inputs)."""
     best = len(lengths)
