@@ -36,7 +36,7 @@ class PieceCache:
             return []
         lists = pc.split_pattern(pa.array(marked, pa.large_string()), MARK)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         values = pa.array(self._found(names), pa.large_binary()).take(coded.indices)
         _, ends, packed = values.buffers()
         ends = np.frombuffer(ends, dtype=np.int64, count=len(values) + 1, offset=8 * values.offset)

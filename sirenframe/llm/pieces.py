@@ -4,7 +4,9 @@ The model file is parsed, and normaliser, blank marker, scores and byte fallback
 rebuilt as a tokenizers pipeline: unigram models by their scores, BPE models by merges
 in the order of the scores. Where no piece of the vocabulary reaches over a marker that
 follows another character, a text is cut there and distinct parts are encoded once,
-in multithreaded batches. Every text may be checked against the sentencepiece library.
+in multithreaded batches. The same holds for line ends, and for marks behind a letter.
+IDs are decoded by a table of the bytes of every piece; what is no UTF-8 then goes through
+the pipeline's decoder. Every text may be checked against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -13,19 +15,23 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
 from sirenframe.llm.common import text_of
+from sirenframe.llm.piece_cache import MARK, PieceCache
 
 MARKER = "▁"
+MARKS = ".,;:!?#$%&*|"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE_PARTS = 500_000
@@ -188,10 +194,21 @@ class PieceEncoder:
         )
         plain = not self.spec.charsmap and not self.spec.squeeze_blanks
         self.plain = plain and self.spec.dummy_prefix
-        self.limit = cache_parts
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache = PieceCache(self._encode, cache_parts)
         self._cut = re.compile(f"(?<=[^{MARKER}])(?={MARKER})")
+        # Unknown characters may be fused where there are no bytes to fall back on.
+        falls_back = self.spec.byte_fallback and sum(kind == BYTE for _, _, kind in self.spec.pieces) == 256
+        normal = [p for p, _, kind in self.spec.pieces if kind == NORMAL]
+        self.cuts_lines = falls_back and not any("\n" in p[1:] for p in normal)
+        self.cuts_marks = falls_back and not any(re.search(rf"[^\W\d_][{MARKS}]", p) for p in normal)
+        tokens = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.spelled = pa.array([self._bytes(t) for t in tokens], pa.large_binary())
+
+    def _bytes(self, token: str | None) -> bytes:
+        """What a token stands for in a text, as the steps of the decoder have it."""
+        if self.spec.byte_fallback and token and re.fullmatch("<0x[0-9A-Fa-f]{2}>", token):
+            return bytes([int(token[3:5], 16)])
+        return (token or "").replace(MARKER, " ").encode()
 
     def normalised(self, text: str) -> str:
         if self.plain:
@@ -203,44 +220,65 @@ class PieceEncoder:
         if not self.cuttable:
             whole = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(e.ids, dtype="<u4").tobytes() for e in whole]
-        parts = [self._parts(t) for t in texts]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, set()
-        for own in parts:
-            for part in own or ():
-                if part not in young:
-                    if part in old:
-                        young[part] = old[part]
-                    else:
-                        new.add(part)
-        ordered = sorted(new)
-        for part, found in zip(ordered, self.bare.encode_batch_fast(ordered, add_special_tokens=False)):
-            young[part] = np.array(found.ids, dtype="<u4").tobytes()
+        marked = [self._marked(t) for t in texts]
+        together = iter(self.cache.joined([m for m in marked if m is not None]))
         out = []
-        for text, own in zip(texts, parts):
-            if own is None:
+        for text, parts in zip(texts, marked):
+            if parts is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, dtype="<u4").tobytes())
+                out.append(array("I", ids).tobytes())
             else:
-                out.append(b"".join(map(young.__getitem__, own)))
+                out.append(next(together))
         return out
 
-    def _parts(self, text: str) -> list[str] | None:
-        """Parts of the normalised text, or None where only the whole text will do."""
-        if self.own and any(p in text for p in self.own):
+    def _marked(self, text: str) -> str | None:
+        """The normalised text with a mark between its parts, or None where only the whole text will do."""
+        if MARK in text or (self.own and any(p in text for p in self.own)):
             return None
         text = self.normalised(text)
-        if not text:
-            return []
-        if MARKER + MARKER in text or text[0] != MARKER:
-            return self._cut.split(text)
-        return [MARKER + part for part in text[1:].split(MARKER)]
+        if MARK in text:
+            return None
+        if MARKER + MARKER in text:
+            text = self._cut.sub(MARK, text)
+        else:
+            text = text.replace(MARKER, MARK + MARKER)
+        return text.replace("\n", MARK + "\n") if self.cuts_lines else text
+
+    def _encode(self, new: set[str], known: dict[str, bytes]) -> None:
+        """Add new parts to the known ones; each is encoded for itself, all in a call."""
+        split = {}
+        whole = set()
+        for part in new:
+            letters = part.rstrip(MARKS) if self.cuts_marks else part
+            if len(letters) < len(part) and letters[-1:].isalpha():
+                split[part] = letters, part[len(letters) :]
+                whole.update(split[part])
+            else:
+                whole.add(part)
+        ordered = sorted(whole.difference(known))
+        for part, found in zip(ordered, self.bare.encode_batch_fast(ordered, add_special_tokens=False)):
+            known[part] = array("I", found.ids).tobytes()
+        for part, (letters, marks) in split.items():
+            known[part] = known[letters] + known[marks]
 
     def decode(self, packed: list[bytes]) -> list[str]:
         """The texts of packed IDs."""
-        ids = [np.frombuffer(p, dtype="<u4").tolist() for p in packed]
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        if not len(ids):
+            return [""] * len(packed)
+        _, ends, spelled = self.spelled.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)
+        cuts = ends[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+        raw, blank = spelled.to_pybytes(), self.spec.dummy_prefix
+        texts = []
+        for own, begin, end in zip(packed, cuts, cuts[1:]):
+            begin += blank and raw[begin : min(begin + 1, end)] == b" "
+            try:
+                texts.append(raw[begin:end].decode())
+            except UnicodeDecodeError:
+                own_ids = np.frombuffer(own, dtype="<u4").tolist()
+                texts.append(self.tokenizer.decode(own_ids, skip_special_tokens=False))
+        return texts
 
 
 _OPEN: dict[str, tuple[PieceEncoder, sentencepiece.SentencePieceProcessor]] = {}
@@ -270,9 +308,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             texts = batch["body"].tolist()
             packed = encoder.encode(texts)
             # Lists of numbers are large: the library goes text by text.
-            parity = [
-                np.array(library.encode(t), dtype="<u4").tobytes() == p for t, p in zip(texts, packed)
-            ]
+            parity = [array("I", library.encode(t)).tobytes() == p for t, p in zip(texts, packed)]
             decoded = encoder.decode(packed)
             plain = encoder.plain
             trip = [

@@ -45,6 +45,33 @@ def test_parity_and_round_trip_of_the_given_model(cache):
         assert encoder.decode(ids) == [t.replace("▁", " ") for t in part]
 
 
+def test_parts_at_line_ends_and_marks_are_encoded_once():
+    with open(PATH, "rb") as stream:
+        raw = stream.read()
+    encoder = P.PieceEncoder(raw)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    texts = [f"{a}.\n{b}" for a in words for b in words]
+    calls = []
+    inner = encoder.cache.encode
+    encoder.cache.encode = lambda new, known: (calls.extend(new), inner(new, known))
+    _same(encoder, library, texts)
+    assert sorted(calls) == sorted(["", *(f"▁{a}." for a in words), *(f"\n{b}" for b in words)])
+    odd = ["a.,\n\n b\n", "\n", "x\n ▁\n", "İ. é, ǅ; 東!", "\x00.\n", "1. _, a1*"]
+    assert encoder.decode(_same(encoder, library, odd)) == [t.replace("▁", " ") for t in odd]
+
+
+def test_ids_that_are_no_text_are_decoded_as_by_the_pipeline():
+    with open(PATH, "rb") as stream:
+        encoder = P.PieceEncoder(stream.read())
+    rng = random.Random(4)
+    size = encoder.tokenizer.get_vocab_size()
+    bytes_ = [i for i, (_, _, kind) in enumerate(encoder.spec.pieces) if kind == P.BYTE]
+    lists = [[rng.choice(bytes_) if rng.random() < 0.5 else rng.randrange(size) for _ in range(n % 9)] for n in range(900)]
+    packed = [np.array(ids, dtype="<u4").tobytes() for ids in lists]
+    assert encoder.decode(packed) == encoder.tokenizer.decode_batch(lists, skip_special_tokens=False)
+
+
 def _message(number, raw):
     return bytes([number << 3 | 2]) + _varint(len(raw)) + raw
 
