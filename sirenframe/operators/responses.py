@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sirenframe.functions import strip_code_fences
+from sirenframe.functions.text import strip_space, without_fences
 from sirenframe.operators.barrier import computed_once
 from sirenframe.operators.variants import kind
 
@@ -44,7 +44,10 @@ def parse_response(responses: DataFrame) -> DataFrame:
 
     A text that is no JSON, and JSON that is no object, are errors.
     """
-    cleaned = responses.withColumn("_clean", strip_code_fences(F.col("response_text")))
+    # strip_code_fences in steps: every one of them reads its input several times.
+    stripped = responses.withColumn("_stripped", strip_space(F.col("response_text")))
+    bare = stripped.withColumn("_bare", without_fences(F.col("_stripped")))
+    cleaned = bare.withColumn("_clean", strip_space(F.col("_bare"))).drop("_stripped", "_bare")
     checked = cleaned.withColumn("_whole", is_whole_json(F.col("_clean")))
     whole, clean = F.col("_whole"), F.col("_clean")
     is_object = F.startswith(clean, F.lit("{"))

@@ -219,3 +219,21 @@ def test_constraints(spark):
     taken, rejected = r.enforce_constraints(df)
     assert taken.count() == 1
     assert sorted(x.violated for x in rejected.collect()) == ["content", "incident_number"]
+
+
+def test_fences_are_stripped_in_steps(spark):
+    """Each strip is in the plan of a parsed response once or twice, not once per use of its result."""
+    responses = spark.range(3).select(F.col("id").cast("string").alias("response_text"))
+    plan = m.parse_response(responses)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("trim(") <= 2
+    assert plan.count("RLIKE") == 0
+
+
+def test_white_space_around_responses(spark):
+    body = json.dumps(incident())
+    texts = [f"{a}{f}{body}{g}{b}" for a in ("", " ", "　\x1f") for b in ("", "\n", "\x85 ")
+             for f, g in (("", ""), ("```json\n", "\n```"), ("``` ", "```"))]
+    odd = ["", " ", "```", "```json", " ```json ``` ", None, "​1"]
+    given = spark.createDataFrame([(t,) for t in texts + odd], "response_text string")
+    got = {x.response_text: x.content for x in m.parse_response(given).collect()}
+    assert got == {**dict.fromkeys(texts, body), **dict.fromkeys(odd)}
